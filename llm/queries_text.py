@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from llm import substring_dedup
+from llm import near_dedup, substring_dedup, suffix_dedup
 from llm.storage import with_row_key
 
 
@@ -37,5 +37,34 @@ def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {"op4_substring_dedup": op4_substring_dedup}
+def op5_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"), shingle=2, num=80, den=100)
+
+
+def _byte_digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        kept = [(t or b"") for t in batch.column("kept").to_pylist()]
+        yield pa.RecordBatch.from_arrays(
+            [batch.column("row_key"), pa.array([len(t) for t in kept], pa.int64()), batch.column("n_spans"), pa.array([hashlib.sha256(t).hexdigest() for t in kept])],
+            ["cut_key", "n_kept", "n_spans", "cut_sha"],
+        )
+
+
+def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    spans = suffix_dedup.repeated_spans(docs)
+    cut = suffix_dedup.without_spans(docs, spans).select("row_key", "kept", F.size("spans").cast("long").alias("n_spans"))
+    cut = cut.mapInArrow(_byte_digest, "cut_key long, n_kept long, n_spans long, cut_sha string").dropDuplicates(["cut_key"])
+    text = F.coalesce("text", F.lit(""))
+    every = with_row_key(docs).select("doc_id", "row_key", F.octet_length(text).cast("long").alias("n_bytes"), F.sha2(text.cast("binary"), 256).alias("sha"))
+    return every.join(cut, F.col("row_key") == F.col("cut_key"), "left").select(
+        "doc_id",
+        "n_bytes",
+        (F.col("n_bytes") - F.coalesce("n_kept", "n_bytes")).alias("n_removed"),
+        F.coalesce("n_spans", F.lit(0).cast("long")).alias("n_spans"),
+        F.coalesce("cut_sha", "sha").alias("kept_sha256"),
+    )
+
+
+QUERIES = {"op4_substring_dedup": op4_substring_dedup, "op5_minhash_near_dedup": op5_minhash_near_dedup, "op7_suffix_dedup": op7_suffix_dedup}
 SQL: dict[str, str] = {}

@@ -33,15 +33,15 @@ from llm.storage import join_checked, partitions, stored, with_row_key
 
 SENT = "bucket long, chunk long, a binary, b binary, c binary, d binary"
 SPANS = "doc_id long, row_key long, spans array<struct<start:int,end:int>>"
-_sent = pa.schema([("bucket", pa.int64()), ("chunk", pa.int64()), *((c, pa.binary()) for c in "abcd")])
+sent_schema = pa.schema([("bucket", pa.int64()), ("chunk", pa.int64()), *((c, pa.binary()) for c in "abcd")])
 _spans = pa.schema([("doc_id", pa.int64()), ("row_key", pa.int64()), ("spans", pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())])))])
 
 
-def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
+def packed_batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(list(c), f.type) for c, f in zip(zip(*rows), schema)], schema=schema) if rows else pa.RecordBatch.from_pylist([], schema=schema)
 
 
-def _chunk_row(number: int, ids: np.ndarray, keys: np.ndarray, first: np.ndarray, local: np.ndarray) -> tuple:
+def chunk_row(number: int, ids: np.ndarray, keys: np.ndarray, first: np.ndarray, local: np.ndarray) -> tuple:
     return (-1 - number, number, ids.tobytes(), keys.tobytes(), first.tobytes(), A.deltas(local).tobytes())
 
 
@@ -49,19 +49,18 @@ def _ints(column) -> np.ndarray:
     return column.to_numpy(zero_copy_only=False).astype(np.int64)
 
 
-def _numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, pa.RecordBatch]]:
+def numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, pa.RecordBatch]]:
     """Chunks with numbers that a task run again gives again."""
     part = TaskContext.get().partitionId() << 32
-    for i, chunk in enumerate(A.chunks(batches, "text", 4 * A.CHUNK_BYTES)):
+    for i, chunk in enumerate(A.chunks(batches, "text", 2 * A.CHUNK_BYTES)):
         yield part + i, chunk
 
 
-def _probes(buckets: int, block: int, window: int):
+def _probes(buckets: int, block: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for number, chunk in _numbered(batches):
+        for number, chunk in numbered(batches):
             data, offsets = A.text_bytes(chunk.column("text"))
             start, end, first = A.words(data, offsets)
-            first[:-1][np.diff(first) < window] = first[1:][np.diff(first) < window]  # no windows there
             at, row = A.window_starts(first, block)
             hashes = A.spans(A.prefix(A.word_hashes(data, start, end), 1), at, at + block, 1)
             aligned = (at - first[:-1][row]) % block == 0
@@ -74,18 +73,18 @@ def _probes(buckets: int, block: int, window: int):
             one = order[new]
             by_place = np.argsort(at[one])
             one, flag = one[by_place], flag[by_place]
-            out = [_chunk_row(number, _ints(chunk.column("doc_id")), _ints(chunk.column("row_key")), first, local)]
+            out = [chunk_row(number, _ints(chunk.column("doc_id")), _ints(chunk.column("row_key")), first, local)]
             places = at[one].astype(np.int32)
             for b, x in A.pack_by(A.buckets_of(hashes[one], buckets), buckets, rem=(hashes[one] & A.U64(0xFFFFFFFF)).astype(np.uint32), at=places, flag=flag):
                 x["at"] = A.deltas(np.frombuffer(x["at"], np.int32)).tobytes()
                 x["flag"] = np.packbits(np.frombuffer(x["flag"], np.uint8)).tobytes()
                 out.append((b, number, x["rem"], x["at"], x["flag"], None))
-            yield _batch(out, _sent)
+            yield packed_batch(out, sent_schema)
 
     return run
 
 
-def _grouped(values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def grouped(values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Order by value, starts of equal runs, and each ordered item's run."""
     order = np.argsort(values, kind="stable")
     v = values[order]
@@ -93,7 +92,7 @@ def _grouped(values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return order, np.flatnonzero(new), np.cumsum(new) - 1
 
 
-def _back(hit: np.ndarray, chunk: np.ndarray, sizes: np.ndarray, places: np.ndarray, key: int) -> list[tuple]:
+def back(hit: np.ndarray, chunk: np.ndarray, sizes: np.ndarray, places: np.ndarray, key: int) -> list[tuple]:
     """The hit places of each packed entry, as rows for its chunk."""
     out, ends = [], np.cumsum(sizes)
     for c, a, z in zip(chunk, ends - sizes, ends):
@@ -103,7 +102,7 @@ def _back(hit: np.ndarray, chunk: np.ndarray, sizes: np.ndarray, places: np.ndar
     return out
 
 
-def _undelta(values: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+def undelta(values: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     total = np.cumsum(values.astype(np.int64))
     ends = np.cumsum(sizes)
     base = np.where(ends - sizes > 0, total[np.maximum(ends - sizes - 1, 0)], 0) if len(total) else ends
@@ -112,18 +111,18 @@ def _undelta(values: np.ndarray, sizes: np.ndarray) -> np.ndarray:
 
 def _match_probes(table: pa.Table) -> pa.Table:
     if table.column("bucket")[0].as_py() < 0:
-        return table.select(["bucket", "chunk", "a", "b", "c", "d"]).cast(_sent)
+        return table.select(["bucket", "chunk", "a", "b", "c", "d"]).cast(sent_schema)
     rem, sizes = A.unpack(table.column("a"), np.uint32)
-    places = _undelta(A.unpack(table.column("b"), np.int32)[0], sizes)
+    places = undelta(A.unpack(table.column("b"), np.int32)[0], sizes)
     flags = np.concatenate([np.unpackbits(np.frombuffer(x, np.uint8), count=n) for x, n in zip(table.column("c").to_pylist(), sizes)])
-    order, new, run = _grouped(rem)
+    order, new, run = grouped(rem)
     found = (np.diff(np.append(new, len(rem))) > 1) & (np.maximum.reduceat(flags[order], new) > 0)
     hit = np.zeros(len(rem), bool)
     hit[order] = found[run]
-    return pa.Table.from_batches([_batch(_back(hit, _ints(table.column("chunk")), sizes, places, table.column("bucket")[0].as_py()), _sent)])
+    return pa.Table.from_batches([packed_batch(back(hit, _ints(table.column("chunk")), sizes, places, table.column("bucket")[0].as_py()), sent_schema)])
 
 
-def _per_chunk(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray] | None:
+def per_chunk(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray] | None:
     """A chunk's ids, row keys, first words, and all its hit places."""
     rows = table.to_pylist()
     head = next(r for r in rows if r["bucket"] < 0)
@@ -140,7 +139,7 @@ def _split_runs(runs: np.ndarray, first: np.ndarray) -> Iterator[tuple[int, np.n
 
 def _candidates(block: int, window: int):
     def run(table: pa.Table) -> pa.Table:
-        ids, keys, first, hit = _per_chunk(table)
+        ids, keys, first, hit = per_chunk(table)
         row = np.searchsorted(first, hit, "right") - 1
         low, high = np.maximum(hit - (window - block), first[row]), np.minimum(hit, first[row + 1] - window)
         step = np.zeros(int(first[-1]) + 2, np.int64)
@@ -149,14 +148,14 @@ def _candidates(block: int, window: int):
         np.add.at(step, high[ok] + 1, -1)
         runs = A.runs_of(np.cumsum(step) > 0)
         schema = pa.schema([("row_key", pa.int64()), ("runs", pa.binary())])
-        return pa.Table.from_batches([_batch([(int(keys[r]), part.astype(np.int32).tobytes()) for r, part in _split_runs(runs, first)] if len(runs) else [], schema)])
+        return pa.Table.from_batches([packed_batch([(int(keys[r]), part.astype(np.int32).tobytes()) for r, part in _split_runs(runs, first)] if len(runs) else [], schema)])
 
     return run
 
 
 def _fingerprints(buckets: int, window: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for number, chunk in _numbered(batches):
+        for number, chunk in numbered(batches):
             ids, keys = _ints(chunk.column("doc_id")), _ints(chunk.column("row_key"))
             data, offsets = A.text_bytes(chunk.column("text"))
             start, end, first = A.words(data, offsets)
@@ -174,22 +173,22 @@ def _fingerprints(buckets: int, window: int):
             least = np.zeros(len(at), np.int64)
             least[order] = np.repeat(doc[order][new], np.diff(np.append(new, len(k))))
             own = np.flatnonzero(doc == least)
-            out = [_chunk_row(number, ids, keys, first, at[doc > least])]
+            out = [chunk_row(number, ids, keys, first, at[doc > least])]
             for b, x in A.pack_by(A.buckets_of(side[own], buckets), buckets, rem=key[own], at=at[own].astype(np.int32), row=row[own].astype(np.int32)):
                 r = np.frombuffer(x["row"], np.int32)
                 cut = np.flatnonzero(np.diff(r, prepend=-1))
                 who = np.stack([ids[r[cut]], np.diff(np.append(cut, len(r)))])
                 out.append((b, number, x["rem"], A.deltas(np.frombuffer(x["at"], np.int32)).tobytes(), who.tobytes(), None))
-            yield _batch(out, _sent)
+            yield packed_batch(out, sent_schema)
 
     return run
 
 
 def _match_windows(table: pa.Table) -> pa.Table:
     if table.column("bucket")[0].as_py() < 0:
-        return table.select(["bucket", "chunk", "a", "b", "c", "d"]).cast(_sent)
+        return table.select(["bucket", "chunk", "a", "b", "c", "d"]).cast(sent_schema)
     rem, sizes = A.unpack(table.column("a"), np.uint64)
-    places = _undelta(A.unpack(table.column("b"), np.int32)[0], sizes)
+    places = undelta(A.unpack(table.column("b"), np.int32)[0], sizes)
     doc = np.concatenate([np.repeat(*np.frombuffer(x, np.int64).reshape(2, -1)) for x in table.column("c").to_pylist()])
     order = np.lexsort((doc, rem))
     r = rem[order]
@@ -197,12 +196,12 @@ def _match_windows(table: pa.Table) -> pa.Table:
     least = np.repeat(doc[order][new], np.diff(np.append(new, len(r))))
     hit = np.zeros(len(rem), bool)
     hit[order] = doc[order] > least
-    return pa.Table.from_batches([_batch(_back(hit, _ints(table.column("chunk")), sizes, places, table.column("bucket")[0].as_py()), _sent)])
+    return pa.Table.from_batches([packed_batch(back(hit, _ints(table.column("chunk")), sizes, places, table.column("bucket")[0].as_py()), sent_schema)])
 
 
 def _merged(window: int):
     def run(table: pa.Table) -> pa.Table:
-        ids, keys, first, starts = _per_chunk(table)
+        ids, keys, first, starts = per_chunk(table)
         row = np.searchsorted(first, starts, "right") - 1
         out = []
         order = np.argsort(starts, kind="stable")
@@ -212,7 +211,7 @@ def _merged(window: int):
             local = part - first[r]
             runs = A.runs_of(A.covered(local, window, int(first[r + 1] - first[r])))
             out.append((int(ids[r]), int(keys[r]), [{"start": int(a), "end": int(z)} for a, z in runs]))
-        return pa.Table.from_batches([_batch(out, _spans)])
+        return pa.Table.from_batches([packed_batch(out, _spans)])
 
     return run
 
@@ -229,7 +228,7 @@ def repeated_spans(docs: DataFrame, *, window: int = 50, id: str = "doc_id", tex
     spark, block = docs.sparkSession, window // 2
     buckets = 4 * partitions(spark)
     keyed = with_row_key(docs, id, text).where("doc_id is not null and text is not null")
-    hits = keyed.mapInArrow(_probes(buckets, block, window), SENT).groupBy("bucket").applyInArrow(_match_probes, SENT)
+    hits = keyed.mapInArrow(_probes(buckets, block), SENT).groupBy("bucket").applyInArrow(_match_probes, SENT)
     runs = stored(hits.groupBy("chunk").applyInArrow(_candidates(block, window), "row_key long, runs binary").dropDuplicates(["row_key"]), "substring-runs")
     sent = join_checked(keyed, runs, ["row_key"], "runs").mapInArrow(_fingerprints(buckets, window), SENT)
     found = sent.groupBy("bucket").applyInArrow(_match_windows, SENT).groupBy("chunk").applyInArrow(_merged(window), SPANS)
