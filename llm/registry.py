@@ -1,6 +1,6 @@
 """All queries of this subpackage and the SQL of those that SQL can express."""
 
-from llm import queries_text
+from llm import queries_pack, queries_text
 
-QUERIES = {**queries_text.QUERIES}
-SQL = {**queries_text.SQL}
+QUERIES = {**queries_text.QUERIES, **queries_pack.QUERIES}
+SQL = {**queries_text.SQL, **queries_pack.SQL}

@@ -52,7 +52,7 @@ def _ints(column) -> np.ndarray:
 def numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, pa.RecordBatch]]:
     """Chunks with numbers that a task run again gives again."""
     part = TaskContext.get().partitionId() << 32
-    for i, chunk in enumerate(A.chunks(batches, "text", 2 * A.CHUNK_BYTES)):
+    for i, chunk in enumerate(A.chunks(batches, "text")):
         yield part + i, chunk
 
 
