@@ -9,12 +9,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from llm import arrays as A
 from llm import near_dedup, substring_dedup, suffix_dedup
 from llm.storage import with_row_key
 
 
 def _word_digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in A.chunks(batches, "text"):
         found = [(t or "").encode().split() for t in batch.column("text").to_pylist()]
         yield pa.RecordBatch.from_arrays(
             [batch.column("doc_id"), batch.column("row_key"), pa.array([len(w) for w in found], pa.int64()), pa.array([hashlib.sha256(b" ".join(w)).hexdigest() for w in found])],
@@ -42,7 +43,7 @@ def op5_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _byte_digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in A.chunks(batches, "kept"):
         kept = [(t or b"") for t in batch.column("kept").to_pylist()]
         yield pa.RecordBatch.from_arrays(
             [batch.column("row_key"), pa.array([len(t) for t in kept], pa.int64()), batch.column("n_spans"), pa.array([hashlib.sha256(t).hexdigest() for t in kept])],

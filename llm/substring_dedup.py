@@ -236,7 +236,7 @@ def repeated_spans(docs: DataFrame, *, window: int = 50, id: str = "doc_id", tex
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in A.chunks(batches, "text"):
         kept = []
         for text, runs in zip(batch.column("text").to_pylist(), batch.column("spans").to_pylist()):
             found, at, out = text.encode().split(), 0, []

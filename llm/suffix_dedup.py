@@ -194,7 +194,7 @@ def without_spans(docs: DataFrame, spans: DataFrame, *, id: str = "doc_id", text
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in A.chunks(batches, "text"):
         kept = []
         for text, runs in zip(batch.column("text").cast(pa.binary()).to_pylist(), batch.column("spans").to_pylist()):
             at, out = 0, []
