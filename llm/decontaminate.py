@@ -29,7 +29,6 @@ Q = 8
 #: Bytes of item text in one broadcast index, which takes about 40 times as much.
 BLOCK_BYTES = 1 << 20
 HIT = "item_id long, start int, end int, edits int"
-_table_bits = 24
 _solid = np.zeros(256, bool)
 _solid[48:58] = _solid[97:123] = _solid[128:] = True
 
@@ -79,12 +78,12 @@ class Index:
         self.at = np.concatenate([p[2] for p in parts])[order] if parts else np.zeros(0, np.int64)
         self.unique, self.first = np.unique(self.gram, return_index=True)
         self.first = np.append(self.first, len(self.gram))
-        self.seen = np.zeros(1 << _table_bits, bool)
+        self.bits = max(10, len(self.gram).bit_length() + 4)
+        self.seen = np.zeros(1 << self.bits, bool)
         self.seen[self.slot(self.gram)] = True
 
-    @staticmethod
-    def slot(gram: np.ndarray) -> np.ndarray:
-        return (gram * A.U64(A.BASES[0])) >> A.U64(64 - _table_bits)
+    def slot(self, gram: np.ndarray) -> np.ndarray:
+        return (gram * A.U64(A.BASES[0])) >> A.U64(64 - self.bits)
 
     def bands(self, data: np.ndarray, offsets: np.ndarray) -> list[tuple[int, int, int]]:
         """(row, item, first diagonal of the band) of the bands with enough shared q-grams."""
@@ -107,48 +106,80 @@ class Index:
         out = []
         group = row * len(self.items) + item
         key = np.concatenate([group, group]) * size + np.concatenate([band, band - 1]) + (size >> 1)
-        key, count = np.unique(key, return_counts=True)
-        group, band = key // size, key % size - (size >> 1)
-        item = group % max(1, len(self.items))
-        enough = count >= self.needed[item]
-        for g, b, i in zip(group[enough], band[enough], item[enough]):
+        every = np.sort(key)
+        new = np.flatnonzero(np.concatenate(([True], every[1:] != every[:-1]))) if len(every) else np.zeros(0, np.int64)
+        bands, count = every[new], np.diff(np.append(new, len(every)))
+        full = bands[count >= self.needed[bands // size % max(1, len(self.items))]]
+        # a place of the item counts once, however often a repetitive text has its q-gram in the band
+        inside = np.isin(key, full)
+        once = np.unique(np.searchsorted(full, key[inside]) << 32 | np.tile(self.at[which], 2)[inside]) >> 32
+        full = full[np.bincount(once, minlength=len(full)) >= self.needed[full // size % max(1, len(self.items))]]
+        group, band = full // size, full % size - (size >> 1)
+        for g, b, i in zip(group, band, group % max(1, len(self.items))):
             out.append((int(g // len(self.items)), int(i), int(b) << int(self.shift[i])))
         return out
 
-    def align(self, text: np.ndarray, i: int, low: int) -> tuple[int, int, int] | None:
-        """(edits, start, end) of the best region of the item whose path starts in the band of diagonals from `low`."""
-        item, e = self.items[i], int(self.edits[i])
-        low, width = low - e, (2 << int(self.shift[i])) + 2 * e + 1
-        j = low + np.arange(width)  # the place in the text before the item's first byte
-        big = 1 << 20
-        cost = np.where((j >= 0) & (j <= len(text)), 0, big)
+    def align(self, texts: list[np.ndarray], items: list[int], lows: list[int]) -> list[tuple[int, int, int]]:
+        """(edits, start, end) of each item's best region with its path in the band of diagonals from low, all bands at once."""
+        spread = np.array([(2 << int(self.shift[i])) + 2 * int(self.edits[i]) + 1 for i in items])
+        sizes = np.array([len(self.items[i]) for i in items])
+        width, length = int(spread.max()), int(sizes.max())
+        low = np.array(lows) - self.edits[items]
+        rows = np.arange(len(items))
+        seg = np.zeros((len(items), length + width), np.uint8)  # 0 is no folded byte
+        want = np.full((len(items), length), 255, np.uint8)
+        ends = np.array([len(t) for t in texts])
+        for r, (t, i, at) in enumerate(zip(texts, items, low)):
+            part = t[max(0, at) : max(0, at + length + width)]
+            seg[r, max(0, -at) : max(0, -at) + len(part)] = part
+            want[r, : sizes[r]] = self.items[i]
+        steps = np.arange(width, dtype=np.int32)
+        big = np.int32(1 << 20)
+        j = low[:, None] + steps
+        cost = np.where((j >= 0) & (j <= ends[:, None]) & (steps < spread[:, None]), 0, big).astype(np.int32)
         start = j.copy()
-        steps = np.arange(width)
-        for x in item:
-            j = j + 1  # the same diagonals, one byte on
-            ok = (j >= 1) & (j <= len(text))
-            diag = cost + 1
-            diag[ok] -= text[j[ok] - 1] == x
-            diag[~ok] = big
-            up = np.append(cost[1:], big) + 1  # this byte of the item is missing in the text
+        out: list[tuple[int, int, int]] = [(1 << 30, 0, 0)] * len(items)
+        edge, none = np.full((len(items), 1), big, np.int32), np.zeros((len(items), 1), start.dtype)
+        for k in range(length + 1):
+            for r in rows[sizes == k]:
+                at = int(np.argmin(cost[r]))
+                out[r] = (int(cost[r, at]), int(start[r, at]), int(low[r] + at + k))
+            if k == length:
+                break
+            here = seg[:, k : k + width]
+            diag = np.where(here == 0, big, cost + (here != want[:, k : k + 1]))
+            up = np.hstack((cost[:, 1:], edge)) + 1  # this byte of the item is missing in the text
             best = np.minimum(diag, up)
-            begin = np.where(up < diag, np.append(start[1:], 0), start)
-            # bytes of the text between: cost grows by one for each step to the right
-            run = np.minimum.accumulate(best - steps)
-            from_ = np.maximum.accumulate(np.where(best - steps == run, steps, 0))
-            cost = np.where((j >= 0) & (j <= len(text)), run + steps, big)
-            start = begin[from_]
-        at = int(np.argmin(cost))
-        return (int(cost[at]), int(start[at]), int(j[at])) if cost[at] <= e else None
+            begin = np.where(up < diag, np.hstack((start[:, 1:], none)), start)
+            # more bytes in the text: each step to the right costs one
+            run = np.minimum.accumulate(best - steps, axis=1)
+            source = np.maximum.accumulate(np.where(best - steps == run, steps, 0), axis=1)
+            j = low[:, None] + steps + k + 1
+            cost = np.where((j >= 0) & (j <= ends[:, None]) & (steps < spread[:, None]), run + steps, big)
+            start = np.take_along_axis(begin, source, axis=1)
+        return out
 
 
 def _hits(index: Index, texts: pa.Array) -> list[list[dict]]:
+    """An item that stands in a text unchanged has no edits; the other bands are aligned."""
     out: list[list[dict]] = [[] for _ in range(len(texts))]
-    data, offsets, place = fold(texts)
+    data, offsets, _ = fold(texts)
     best: dict[tuple[int, int], tuple[int, int, int]] = {}
+    todo = []
+    looked: dict[tuple[int, int], int] = {}
     for row, i, low in index.bands(data, offsets):
-        if (found := index.align(data[offsets[row] : offsets[row + 1]], i, low)) and found < best.get((row, i), (1 << 30,)):
-            best[row, i] = found
+        text = data[offsets[row] : offsets[row + 1]]
+        if (row, i) not in looked:
+            looked[row, i] = text.tobytes().find(index.items[i].tobytes())
+            if looked[row, i] >= 0:
+                best[row, i] = (0, looked[row, i], looked[row, i] + len(index.items[i]))
+        if looked[row, i] < 0:
+            todo.append((text, i, low, row))
+    for at in range(0, len(todo), 256):
+        part = todo[at : at + 256]
+        for (_, i, _, row), found in zip(part, index.align([x[0] for x in part], [x[1] for x in part], [x[2] for x in part])):
+            if found[0] <= index.edits[i] and found < best.get((row, i), (1 << 30,)):
+                best[row, i] = found
     for (row, i), (edits, a, z) in sorted(best.items()):
         out[row].append({"item_id": index.ids[i], "start": a, "end": z, "edits": edits})
     return out
