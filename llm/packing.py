@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from llm import arrays as A
-from llm.storage import partitions, stored
+from llm.storage import partitions, small_batches, stored
 from llm.tokens import word_ids
 
 PIECES = "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
@@ -175,6 +175,7 @@ def pack(docs: DataFrame, *, capacity: int = 4096, end: int = 2, tokenizer: str
     is the end id alone; equal rows are packed each; an empty table gives no rows.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     docs = docs.select(F.col(id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
     tokens = docs.mapInArrow(_tokenized(tokenizer, end), "doc_id long, packed binary, tokens long")
     tokens = tokens.withColumn("rest", F.col("tokens") % capacity).withColumn("salt", F.pmod(F.xxhash64("doc_id", "packed"), F.lit(4 * partitions(spark))))

@@ -13,6 +13,15 @@ from pyspark.sql import functions as F
 BROADCAST_ROWS = 300_000
 BROADCAST_BYTES = 24 << 20
 
+#: Bytes of a batch that Spark hands to a Python worker. Batches are held by both
+#: sides at once, and 64 MB of long texts (Spark's default) is a worker's whole share.
+BATCH_BYTES = 4 << 20
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Bound the session's Arrow batches in bytes; a longer row is a batch of its own."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and all executors share.

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from llm import arrays as A
-from llm.storage import join_checked, partitions, stored, with_row_key
+from llm.storage import join_checked, partitions, small_batches, stored, with_row_key
 
 SENT = "bucket long, chunk long, a binary, b binary, c binary, d binary"
 SPANS = "doc_id long, row_key long, spans array<struct<start:int,end:int>>"
@@ -226,6 +226,7 @@ def repeated_spans(docs: DataFrame, *, window: int = 50, id: str = "doc_id", tex
     equal results, and neither makes the other a repeat.
     """
     spark, block = docs.sparkSession, window // 2
+    small_batches(spark)
     buckets = 4 * partitions(spark)
     keyed = with_row_key(docs, id, text).where("doc_id is not null and text is not null")
     hits = keyed.mapInArrow(_probes(buckets, block), SENT).groupBy("bucket").applyInArrow(_match_probes, SENT)

@@ -30,12 +30,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from llm import arrays as A
-from llm.storage import join_checked, partitions, stored, with_row_key
+from llm.storage import join_checked, partitions, small_batches, stored, with_row_key
 from llm.substring_dedup import SENT, back, chunk_row, grouped, numbered, packed_batch, per_chunk, undelta
 from llm.substring_dedup import sent_schema as SENT_SCHEMA
 
 SPANS = "row_key long, spans array<struct<start:int,end:int>>"
-_chunk_bytes = 2 << 20
+_chunk_bytes = 1 << 20
 
 
 def _ints(column) -> np.ndarray:
@@ -166,6 +166,7 @@ def repeated_spans(docs: DataFrame, *, depth: int = 400, gram: int = 32, id: str
     texts have none. Equal rows count as two places, so both are repeats.
     Matches never cross documents; overlapping ones in a document count.
     """
+    small_batches(docs.sparkSession)
     keyed = with_row_key(docs, id, text)
     buckets = 4 * partitions(docs.sparkSession)
     records = stored(keyed.mapInArrow(_records(depth, gram), "row_key long, start int, n int, core long, whole long"), "suffix-records")
