@@ -11,7 +11,9 @@ threshold meets under at least one key.
 Sets that are equal are one node. A key with g documents gives g - 1 pairs with
 its smallest document, never all pairs. Pairs are confirmed on full sets. Where
 a confirmed pair is missing inside a key, the key's documents that are not in
-one component yet are compared with each other, so no link is lost.
+one component yet are compared with each other, so no link is lost. Shingles that no other such
+document has bound its similarity to all of them, so most that have no link are
+left out without being compared with anything.
 """
 
 from __future__ import annotations
@@ -27,7 +29,7 @@ from pyspark.sql import functions as F
 
 from llm import arrays as A
 from llm.components import components
-from llm.storage import join_checked, partitions, stored
+from llm.storage import join_checked, partitions, small_batches, stored
 
 MINIMA, CHUNKS, ERRORS = 48, 8, 2
 #: The largest distance for which the pigeonhole principle guarantees a common key.
@@ -217,7 +219,31 @@ def _post_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         if batch.num_rows:
             keys = _keys(_read_signatures(batch.column("signature")))
-            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("c"), pa.ListArray.from_arrays(pa.array(np.arange(0, keys.size + 1, KEYS, dtype=np.int32)), pa.array(keys.ravel().view(np.int64)))], ["id", "c", "keys"])
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(0, keys.size + 1, KEYS, dtype=np.int32)), pa.array(keys.ravel().view(np.int64)))
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("id", "c", "n", "most")), lists], ["id", "c", "n", "most", "keys"])
+
+
+def _listed_shingles(n: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for chunk in A.chunks(batches, "text"):
+            sets = shingle_sets(chunk.column("text"), n)
+            ends = np.cumsum([0, *(len(s) for s in sets)]).astype(np.int32)
+            flat = np.concatenate(sets).view(np.int64)
+            yield pa.RecordBatch.from_arrays([chunk.column("id"), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))], ["id", "shingles"])
+
+    return run
+
+
+def _own_shingles(docs: DataFrame, nodes: DataFrame, shingle: int) -> DataFrame:
+    """(id, own): how many of a node's shingles no other of these nodes has; ids that name several sets are absent.
+
+    Such shingles are in no intersection, so they bound the similarity from above.
+    """
+    single = stored(nodes.groupBy("id").agg(F.count(F.lit(1)).alias("sets")).where("sets = 1").select("id"), "near-single")
+    every = join_checked(docs.select(F.col("doc_id").alias("id"), "text"), stored(nodes.select("id").distinct(), "near-around"), ["id"]).where("text is not null")
+    listed = every.mapInArrow(_listed_shingles(shingle), "id long, shingles array<long>").select("id", F.explode("shingles").alias("s"))
+    once = listed.groupBy("s").agg(F.min("id").alias("id"), F.max("id").alias("most")).where("id = most")
+    return once.groupBy("id").agg(F.count(F.lit(1)).alias("own")).join(single, "id", "left_semi")
 
 
 def _with_signatures(pairs: DataFrame, nodes: DataFrame, num: int, den: int) -> DataFrame:
@@ -235,6 +261,7 @@ def near_duplicates(docs: DataFrame, *, shingle: int = 5, num: int = 80, den: in
     words or text the set is empty and linked with nothing. A row without id is
     kept and has no component. Rows that share an id are one node.
     """
+    small_batches(docs.sparkSession)
     buckets = 4 * partitions(docs.sparkSession)
     docs = docs.select(F.col(id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
     sketches = stored(docs.mapInArrow(_sketch(shingle), "doc_id long, n_shingles long, low long, high long, signature binary"), "near-sketches")
@@ -258,12 +285,17 @@ def near_duplicates(docs: DataFrame, *, shingle: int = 5, num: int = 80, den: in
     if not apart.isEmpty():
         around = pairs.join(apart, "a", "left_semi")
         around = around.select(F.col("a").alias("id")).union(around.select(F.col("b").alias("id"))).distinct()
-        some = classes.join(around, "id", "left_semi").join(labels, "id", "left").select("id", "signature", F.coalesce("component", "id").alias("c"))
-        keyed = stored(some.mapInArrow(_post_rows, "id long, c long, keys array<long>").select("id", "c", F.explode("keys").alias("key")), "near-keys")
-        shares = keyed.groupBy("key", "c").agg(F.count(F.lit(1)).alias("n"))
-        major = shares.groupBy("key").agg(F.max_by("c", F.struct("n", "c")).alias("major"), F.count(F.lit(1)).alias("kinds")).where("kinds > 1").select("key", "major")
-        minor = keyed.join(major, "key").where("c <> major").select("key", F.col("id").alias("x"), F.col("c").alias("cx"))
-        more = minor.join(keyed, "key").where("c <> cx").select(F.least("x", "id").alias("a"), F.greatest("x", "id").alias("b")).distinct()
+        some = stored(classes.join(around, "id", "left_semi").join(labels, "id", "left").select("id", "signature", "n", F.coalesce("component", "id").alias("c")), "near-some")
+        some = some.join(_own_shingles(texts, some, shingle), "id", "left").withColumn("most", F.col("n") - F.coalesce("own", F.lit(0)))
+        # whatever a set shares with another is at most `most`, which has to be num/den of their union
+        some = some.where(den * F.col("most") >= num * F.col("n"))
+        keyed = some.mapInArrow(_post_rows, "id long, c long, n long, most long, keys array<long>").select("id", "c", "n", "most", F.explode("keys").alias("key"))
+        keyed = stored(keyed, "near-keys")
+        shares = keyed.groupBy("key", "c").agg(F.count(F.lit(1)).alias("times"))
+        major = shares.groupBy("key").agg(F.max_by("c", F.struct("times", "c")).alias("major"), F.count(F.lit(1)).alias("kinds")).where("kinds > 1").select("key", "major")
+        minor = keyed.join(major, "key").where("c <> major").select("key", F.col("id").alias("x"), F.col("c").alias("cx"), F.col("n").alias("nx"), F.col("most").alias("mx"))
+        able = (num + den) * F.least("most", "mx") >= num * (F.col("n") + F.col("nx"))
+        more = minor.join(keyed, (minor["key"] == keyed["key"]) & (F.col("c") != F.col("cx")) & able).select(F.least("x", "id").alias("a"), F.greatest("x", "id").alias("b")).distinct()
         more = more.join(pairs.select("a", "b"), ["a", "b"], "left_anti").withColumn("many", F.lit(False))
         more = _with_signatures(more, classes, num, den).where("near").select("a", "b")
         links = links.union(_links(texts, more, shingle, num, den))
