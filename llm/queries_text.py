@@ -28,12 +28,13 @@ def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     spans = substring_dedup.repeated_spans(docs)
     kind = "doc_id long, row_key long, n_words long, sha string"
     every = with_row_key(docs).mapInArrow(_word_digest, kind)
-    cut = substring_dedup.without_spans(docs, spans).mapInArrow(_word_digest, kind).dropDuplicates(["row_key", "doc_id"])
-    cut = cut.select(F.col("doc_id").alias("cut_id"), F.col("row_key").alias("cut_key"), F.col("n_words").alias("n_kept"), F.col("sha").alias("cut_sha"))
+    gone = F.aggregate("spans", F.lit(0).cast("long"), lambda n, x: n + x["end"] - x["start"])
+    cut = substring_dedup.without_spans(docs, spans).dropDuplicates(["row_key", "doc_id"])
+    cut = cut.select(F.col("doc_id").alias("cut_id"), F.col("row_key").alias("cut_key"), gone.alias("n_gone"), F.sha2(F.col("text").cast("binary"), 256).alias("cut_sha"))
     return every.join(cut, (F.col("row_key") == F.col("cut_key")) & (F.col("doc_id") == F.col("cut_id")), "left").select(
         "doc_id",
         "n_words",
-        (F.col("n_words") - F.coalesce("n_kept", "n_words")).alias("n_removed"),
+        F.coalesce("n_gone", F.lit(0).cast("long")).alias("n_removed"),
         F.coalesce("cut_sha", "sha").alias("kept_sha256"),
     )
 
@@ -42,20 +43,11 @@ def op5_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"), shingle=2, num=80, den=100)
 
 
-def _byte_digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in A.chunks(batches, "kept"):
-        kept = [(t or b"") for t in batch.column("kept").to_pylist()]
-        yield pa.RecordBatch.from_arrays(
-            [batch.column("row_key"), pa.array([len(t) for t in kept], pa.int64()), batch.column("n_spans"), pa.array([hashlib.sha256(t).hexdigest() for t in kept])],
-            ["cut_key", "n_kept", "n_spans", "cut_sha"],
-        )
-
-
 def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     spans = suffix_dedup.repeated_spans(docs)
-    cut = suffix_dedup.without_spans(docs, spans).select("row_key", "kept", F.size("spans").cast("long").alias("n_spans"))
-    cut = cut.mapInArrow(_byte_digest, "cut_key long, n_kept long, n_spans long, cut_sha string").dropDuplicates(["cut_key"])
+    cut = suffix_dedup.without_spans(docs, spans).select(F.col("row_key").alias("cut_key"), F.octet_length("kept").cast("long").alias("n_kept"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("cut_sha"))
+    cut = cut.dropDuplicates(["cut_key"])
     text = F.coalesce("text", F.lit(""))
     every = with_row_key(docs).select("doc_id", "row_key", F.octet_length(text).cast("long").alias("n_bytes"), F.sha2(text.cast("binary"), 256).alias("sha"))
     return every.join(cut, F.col("row_key") == F.col("cut_key"), "left").select(
