@@ -11,9 +11,8 @@ threshold meets under at least one key.
 Sets that are equal are one node. A key with g documents gives g - 1 pairs with
 its smallest document, never all pairs. Pairs are confirmed on full sets. Where
 a confirmed pair is missing inside a key, the key's documents that are not in
-one component yet are compared with each other, so no link is lost. Shingles that no other such
-document has bound its similarity to all of them, so most that have no link are
-left out without being compared with anything.
+one component yet are compared with each other, so no link is lost: those that
+share one of their rarest shingles, at places that leave enough to share.
 """
 
 from __future__ import annotations
@@ -24,7 +23,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from llm import arrays as A
@@ -215,35 +214,32 @@ def _labelled(pairs: DataFrame, labels: DataFrame) -> DataFrame:
     return pairs
 
 
-def _post_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        if batch.num_rows:
-            keys = _keys(_read_signatures(batch.column("signature")))
-            lists = pa.ListArray.from_arrays(pa.array(np.arange(0, keys.size + 1, KEYS, dtype=np.int32)), pa.array(keys.ravel().view(np.int64)))
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("id", "c", "n", "most")), lists], ["id", "c", "n", "most", "keys"])
-
-
 def _listed_shingles(n: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for chunk in A.chunks(batches, "text"):
             sets = shingle_sets(chunk.column("text"), n)
             ends = np.cumsum([0, *(len(s) for s in sets)]).astype(np.int32)
-            flat = np.concatenate(sets).view(np.int64)
-            yield pa.RecordBatch.from_arrays([chunk.column("id"), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))], ["id", "shingles"])
+            low = np.array([s.sum(dtype=np.uint64) for s in sets], np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([chunk.column("id"), pa.array(low), pa.array(np.diff(ends)), pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(sets).view(np.int64)))], ["id", "low", "n", "shingles"])
 
     return run
 
 
-def _own_shingles(docs: DataFrame, nodes: DataFrame, shingle: int) -> DataFrame:
-    """(id, own): how many of a node's shingles no other of these nodes has; ids that name several sets are absent.
+def _prefixes(docs: DataFrame, nodes: DataFrame, n: int, num: int, den: int) -> DataFrame:
+    """(s, id, c, n, at): the shingles of each node, rarest first, among which two linked nodes share one.
 
-    Such shingles are in no intersection, so they bound the similarity from above.
+    A set that shares num/den with another can't miss all of its first
+    n - ceil(n * num / den) + 1 shingles in an order that both follow. Only
+    shingles that two of the nodes (id, c) have are listed.
     """
-    single = stored(nodes.groupBy("id").agg(F.count(F.lit(1)).alias("sets")).where("sets = 1").select("id"), "near-single")
-    every = join_checked(docs.select(F.col("doc_id").alias("id"), "text"), stored(nodes.select("id").distinct(), "near-around"), ["id"]).where("text is not null")
-    listed = every.mapInArrow(_listed_shingles(shingle), "id long, shingles array<long>").select("id", F.explode("shingles").alias("s"))
-    once = listed.groupBy("s").agg(F.min("id").alias("id"), F.max("id").alias("most")).where("id = most")
-    return once.groupBy("id").agg(F.count(F.lit(1)).alias("own")).join(single, "id", "left_semi")
+    texts = join_checked(docs.select(F.col("doc_id").alias("id"), "text"), nodes, ["id"]).where("text is not null")
+    sets = texts.select("id", "text").mapInArrow(_listed_shingles(n), "id long, low long, n int, shingles array<long>").dropDuplicates(["id", "low"])
+    listed = stored(sets.select("id", "low", "n", F.explode("shingles").alias("s")), "near-listed")
+    times = listed.groupBy("s").agg(F.count(F.lit(1)).alias("times")).where("times > 1")
+    alone = F.coalesce("times", F.lit(1))
+    ranked = listed.join(times.hint("merge"), "s", "left").withColumn("at", F.row_number().over(Window.partitionBy("id", "low").orderBy(alone, "s")))
+    first = F.col("at") <= F.col("n") - F.ceil(F.col("n") * num / den) + 1
+    return ranked.where(first & F.col("times").isNotNull()).select("s", "id", "n", "at").join(nodes.hint("merge"), "id")
 
 
 def _with_signatures(pairs: DataFrame, nodes: DataFrame, num: int, den: int) -> DataFrame:
@@ -285,19 +281,15 @@ def near_duplicates(docs: DataFrame, *, shingle: int = 5, num: int = 80, den: in
     if not apart.isEmpty():
         around = pairs.join(apart, "a", "left_semi")
         around = around.select(F.col("a").alias("id")).union(around.select(F.col("b").alias("id"))).distinct()
-        some = stored(classes.join(around, "id", "left_semi").join(labels, "id", "left").select("id", "signature", "n", F.coalesce("component", "id").alias("c")), "near-some")
-        some = some.join(_own_shingles(texts, some, shingle), "id", "left").withColumn("most", F.col("n") - F.coalesce("own", F.lit(0)))
-        # whatever a set shares with another is at most `most`, which has to be num/den of their union
-        some = some.where(den * F.col("most") >= num * F.col("n"))
-        keyed = some.mapInArrow(_post_rows, "id long, c long, n long, most long, keys array<long>").select("id", "c", "n", "most", F.explode("keys").alias("key"))
-        keyed = stored(keyed, "near-keys")
-        shares = keyed.groupBy("key", "c").agg(F.count(F.lit(1)).alias("times"))
-        major = shares.groupBy("key").agg(F.max_by("c", F.struct("times", "c")).alias("major"), F.count(F.lit(1)).alias("kinds")).where("kinds > 1").select("key", "major")
-        minor = keyed.join(major, "key").where("c <> major").select("key", F.col("id").alias("x"), F.col("c").alias("cx"), F.col("n").alias("nx"), F.col("most").alias("mx"))
-        able = (num + den) * F.least("most", "mx") >= num * (F.col("n") + F.col("nx"))
-        more = minor.join(keyed, (minor["key"] == keyed["key"]) & (F.col("c") != F.col("cx")) & able).select(F.least("x", "id").alias("a"), F.greatest("x", "id").alias("b")).distinct()
-        more = more.join(pairs.select("a", "b"), ["a", "b"], "left_anti").withColumn("many", F.lit(False))
-        more = _with_signatures(more, classes, num, den).where("near").select("a", "b")
+        some = stored(around.join(labels, "id", "left").select("id", F.coalesce("component", "id").alias("c")), "near-some")
+        prefixes = stored(_prefixes(texts, some, shingle, num, den), "near-prefixes")
+        shares = prefixes.groupBy("s", "c").agg(F.count(F.lit(1)).alias("times"))
+        major = shares.groupBy("s").agg(F.max_by("c", F.struct("times", "c")).alias("major"), F.count(F.lit(1)).alias("kinds")).where("kinds > 1").select("s", "major")
+        minor = prefixes.join(major, "s").where("c <> major").select(F.col("s").alias("t"), F.col("id").alias("x"), F.col("c").alias("cx"), F.col("n").alias("nx"), F.col("at").alias("ax"))
+        # if this is the first shingle that both have, they share it and what follows at most
+        able = (num + den) * (1 + F.least(F.col("n") - F.col("at"), F.col("nx") - F.col("ax"))) >= num * (F.col("n") + F.col("nx"))
+        more = minor.join(prefixes, (F.col("t") == F.col("s")) & (F.col("c") != F.col("cx")) & able).select(F.least("x", "id").alias("a"), F.greatest("x", "id").alias("b")).distinct()
+        more = stored(more.join(pairs.where("near").select("a", "b"), ["a", "b"], "left_anti"), "pairs-more")
         links = links.union(_links(texts, more, shingle, num, den))
         labels = components(links)
     found = classes.join(labels, "id", "left").select("low", "high", F.coalesce("component", "id").alias("c"))

@@ -141,3 +141,21 @@ def test_empty_and_doubled_rows(spark, tmp_path, name):
         assert {(r.doc_id, r.component_id, r.kept) for r in rows if r.n_shingles == 3} == {(1, 1, True), (3, 1, False), (None, None, True)}
     if name == ALL[2]:  # every copy is a place of its own
         assert all(r.n_removed == r.n_bytes for r in rows if r.n_bytes > 400)
+
+
+def test_links_between_copies_that_miss_their_hub(spark, tmp_path):
+    """A chain of copies around 0.8, so that many meet under a key whose smallest document they are not linked with."""
+    import random
+
+    rng = random.Random(3)
+    base = tables.prose(rng, 60, 40).split()
+    rows = []
+    for i in range(150):
+        words = list(base)
+        for at in rng.sample(range(60), rng.randrange(0, 9)):
+            words[at] = f"{rng.choice('xyz')}{rng.randrange(3)}"
+        rows.append((i, " ".join(words)))
+    sf = tables.write(tmp_path / "copies", rows)
+    want = near(tables.read(sf))
+    got = {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in QUERIES[ALL[1]](spark, sf).collect()}
+    assert got == want and 1 < len({c for _, c, _ in want.values()}) < 150
