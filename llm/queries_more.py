@@ -27,7 +27,7 @@ def op1_size_tiered_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     sharding.append(_table(spark, sf_dir, "documents"), root, arrival=F.floor(F.col("doc_id") / ARRIVAL_DOCS))
     at = sharding.compact(spark, root)
     shards = sharding.manifest(spark, root, at).select("shard", F.col("docs").alias("shard_docs"), F.col("bytes").alias("shard_bytes"))
-    return sharding.read(spark, root, at).select("shard", "doc_id", F.octet_length(F.coalesce("text", F.lit(""))).cast("long").alias("n_bytes")).join(shards.hint("merge"), "shard").select("doc_id", "n_bytes", "shard", "shard_docs", "shard_bytes")
+    return sharding.read(spark, root, at).select(F.col("_shard").alias("shard"), "doc_id", F.octet_length(F.coalesce("text", F.lit(""))).cast("long").alias("n_bytes")).join(shards.hint("merge"), "shard").select("doc_id", "n_bytes", "shard", "shard_docs", "shard_bytes")
 
 
 def _tier(i: int, low: int, high: int) -> str:

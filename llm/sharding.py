@@ -60,11 +60,14 @@ def commit(spark: SparkSession, root: str, shards: DataFrame, after: int) -> int
 
 
 def read(spark: SparkSession, root: str, at: int | None = None) -> DataFrame:
-    """All rows of a version, with the shard of each."""
+    """All rows of a version, with the shard of each in a column _shard."""
     shards = manifest(spark, root, at)
-    schema = spark.read.parquet(f"{root}/data").schema
-    rows = spark.read.schema(schema).parquet(f"{root}/data").withColumnRenamed("_shard", "shard")
-    return join_checked(rows, shards.select("shard"), ["shard"])
+    return join_checked(_data(spark, root), shards.select(F.col("shard").alias("_shard")), ["_shard"])
+
+
+def _data(spark: SparkSession, root: str) -> DataFrame:
+    schema = spark.read.parquet(f"{root}/schema").schema  # known even while there are no rows
+    return spark.read.schema(schema).parquet(f"{root}/data")
 
 
 def _write(rows: DataFrame, root: str, shard: str = "_shard") -> None:
@@ -72,11 +75,17 @@ def _write(rows: DataFrame, root: str, shard: str = "_shard") -> None:
 
 
 def append(rows: DataFrame, root: str, *, arrival: Column, text: str = "text") -> int:
-    """Write rows as one small shard for each arrival number, and commit them after those that are there."""
-    spark = rows.sparkSession
+    """Write rows as one small shard for each arrival number, and commit them after those that are there.
+
+    Null arrival numbers are arrival -1; null texts count 0 bytes; equal rows are
+    kept each; an empty table commits a version without new shards. Columns named
+    _shard and _first are replaced.
+    """
+    spark, rows = rows.sparkSession, rows.drop("_shard", "_first")
     now = version(spark, root)
     first = F.coalesce(arrival.cast("long"), F.lit(-1))
     named = rows.withColumn("_first", first).withColumn("_shard", F.concat(F.lit(f"v{now + 1}-a"), F.format_string("%012d", F.col("_first"))))
+    named.drop("_first").limit(0).write.mode("append").parquet(f"{root}/schema")
     _write(named.drop("_first"), root)
     new = named.groupBy(F.col("_shard").alias("shard"), F.col("_first").alias("first")).agg(F.count(F.lit(1)).alias("docs"), F.sum(F.coalesce(F.octet_length(text), F.lit(0))).cast("long").alias("bytes"))
     return commit(spark, root, manifest(spark, root, now).unionByName(new) if now else new, now)
@@ -106,8 +115,7 @@ def compact(spark: SparkSession, root: str, **policy) -> int:
     name = F.when(F.col("parts") == 1, F.col("only")).otherwise(F.concat(F.lit(f"v{now + 1}-m"), F.format_string("%012d", F.col("run"))))
     merged = merged.withColumn("shard", name)
     moves = planned.select(F.col("shard").alias("old"), "run").join(merged.where("parts > 1").select("run", F.col("shard").alias("new")), "run")
-    moves = stored(moves.select(F.col("old").alias("shard"), "new"), "shard-moves")
-    rows = spark.read.parquet(f"{root}/data").withColumnRenamed("_shard", "shard")
-    rows = join_checked(rows, moves, ["shard"]).drop("shard").withColumnRenamed("new", "_shard")
+    moves = stored(moves.select(F.col("old").alias("_shard"), F.col("new").alias("_first")), "shard-moves")
+    rows = join_checked(_data(spark, root), moves, ["_shard"]).drop("_shard").withColumnRenamed("_first", "_shard")
     _write(rows, root)
     return commit(spark, root, merged.select("shard", F.col("run").alias("first"), "docs", "bytes"), now)
