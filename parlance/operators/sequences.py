@@ -54,10 +54,12 @@ def duplication_share(texts: DataFrame, id: str, words: Column, n: int = 4) -> D
 
 def seam_rereads(rows: DataFrame, words: Column, *, n: int = 3, reach_ms: int = 2000) -> DataFrame:
     """n-grams of each session that an earlier row with a start at most `reach_ms` away also has, repeats counted."""
-    grams = rows.select("session_id", "position", "start_ms", F.posexplode(shingles(words, n)).alias("i", "gram"))
-    before = grams.select("session_id", "gram", F.col("position").alias("p"), F.col("start_ms").alias("s")).distinct()
-    seen = grams.join(before, ["session_id", "gram"]).where((F.struct("s", "p") < F.struct("start_ms", "position")) & (F.col("start_ms") - F.col("s") <= reach_ms))
-    found = seen.select("session_id", "position", "i").distinct().groupBy("session_id").agg(F.count(F.lit(1)).alias("rereads"))
+    split = rows.select("session_id", "position", "start_ms", words.alias("words"))
+    grams = split.select("session_id", "position", "start_ms", F.explode(shingles(F.col("words"), n)).alias("gram"))
+    each = grams.groupBy("session_id", "gram", "start_ms", "position").agg(F.count(F.lit(1)).alias("times"))
+    # of the earlier rows with this n-gram the last one is nearest, so it decides
+    before = F.lag("start_ms").over(Window.partitionBy("session_id", "gram").orderBy("start_ms", "position"))
+    found = each.withColumn("before", before).where(F.col("start_ms") - F.col("before") <= reach_ms).groupBy("session_id").agg(F.sum("times").alias("rereads"))
     return rows.select("session_id").distinct().join(found, "session_id", "left").withColumn("rereads", F.coalesce("rereads", F.lit(0)))
 
 
