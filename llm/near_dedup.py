@@ -10,9 +10,10 @@ threshold meets under at least one key.
 
 Sets that are equal are one node. A key with g documents gives g - 1 pairs with
 its smallest document, never all pairs. Pairs are confirmed on full sets. Where
-a confirmed pair is missing inside a key, the key's documents that are not in
-one component yet are compared with each other, so no link is lost: those that
-share one of their rarest shingles, at places that leave enough to share.
+a confirmed pair is missing inside a key, all of the key's documents, of whatever
+chunk, that are not in one component yet are compared with each other, so no
+link is lost: those that share one of their rarest shingles, at places that
+leave enough to share.
 """
 
 from __future__ import annotations
@@ -108,12 +109,12 @@ def _read_signatures(column: pa.Array) -> np.ndarray:
 _PAIRS = pa.schema([("bucket", pa.int32()), ("rem", pa.binary()), ("ids", pa.binary()), ("many", pa.binary()), ("a", pa.int64()), ("b", pa.int64())])
 
 
-def _post(buckets: int):
+def _post(buckets: int, batch: int):
     """Keys packed for their buckets, one for each distinct key of a chunk; the chunk's own pairs are made here."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for chunk in (whole.slice(i, 4000) for i in range(0, whole.num_rows, 4000)):
+            for chunk in (whole.slice(i, batch) for i in range(0, whole.num_rows, batch)):
                 ids = _ints(chunk.column("id"))
                 order = np.argsort(ids, kind="stable")
                 ids = ids[order]
@@ -214,6 +215,21 @@ def _labelled(pairs: DataFrame, labels: DataFrame) -> DataFrame:
     return pairs
 
 
+def _of_keys(many: DataFrame, apart: DataFrame) -> DataFrame:
+    """All documents (id) of each key that has a pair of a hub in `apart` (a).
+
+    A key's smallest document is paired with the smallest of each chunk, and
+    those with their chunk's others. So from any pair of a key one step up and
+    one down meet all of its hubs, and their pairs have all its documents.
+    """
+    above = many.join(apart.select(F.col("a").alias("b")), "b", "left_semi").select("a")
+    top = stored(apart.union(above).distinct(), "hubs-top")
+    below = many.join(top, "a", "left_semi").select(F.col("b").alias("a"))
+    hubs = stored(top.union(below).distinct(), "hubs-all")
+    around = many.join(hubs, "a", "left_semi")
+    return around.select(F.col("a").alias("id")).union(around.select(F.col("b").alias("id"))).distinct()
+
+
 def _listed_shingles(n: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for chunk in A.chunks(batches, "text"):
@@ -248,14 +264,15 @@ def _with_signatures(pairs: DataFrame, nodes: DataFrame, num: int, den: int) ->
     return stored(pairs.mapInArrow(_close(num, den), "a long, b long, many boolean, near boolean"), "pairs-near")
 
 
-def near_duplicates(docs: DataFrame, *, shingle: int = 5, num: int = 80, den: int = 100, id: str = "doc_id", text: str = "text") -> DataFrame:
+def near_duplicates(docs: DataFrame, *, shingle: int = 5, num: int = 80, den: int = 100, id: str = "doc_id", text: str = "text", batch: int = 4000) -> DataFrame:
     """Components of documents linked by a shingle-set similarity of num/den or more.
 
     Returns one row for each row of `docs`: doc_id, n_shingles (distinct
     shingles), component_id (smallest id reachable) and kept (that is its own).
     A text with fewer words than a shingle has all of them as one; without
     words or text the set is empty and linked with nothing. A row without id is
-    kept and has no component. Rows that share an id are one node.
+    kept and has no component. Rows that share an id are one node. `batch` is
+    the number of signatures whose keys are made at once.
     """
     small_batches(docs.sparkSession)
     buckets = 4 * partitions(docs.sparkSession)
@@ -263,7 +280,7 @@ def near_duplicates(docs: DataFrame, *, shingle: int = 5, num: int = 80, den: in
     sketches = stored(docs.mapInArrow(_sketch(shingle), "doc_id long, n_shingles long, low long, high long, signature binary"), "near-sketches")
     classes = sketches.where("doc_id is not null and n_shingles > 0").groupBy("low", "high").agg(F.min("doc_id").alias("id"), F.min("signature").alias("signature"), F.min("n_shingles").alias("n"))
     classes = stored(classes, "near-classes")
-    posted = classes.select("id", "signature").mapInArrow(_post(buckets), "bucket int, rem binary, ids binary, many binary, a long, b long")
+    posted = classes.select("id", "signature").mapInArrow(_post(buckets, batch), "bucket int, rem binary, ids binary, many binary, a long, b long")
     posted = stored(posted, "near-posted")
     pairs = posted.where("bucket >= 0").groupBy("bucket").applyInArrow(_meet, "a long, b long, many boolean")
     pairs = pairs.unionByName(posted.where("bucket < 0").select("a", "b", F.lit(True).alias("many"))).groupBy("a", "b").agg(F.max("many").alias("many"))
@@ -279,9 +296,7 @@ def near_duplicates(docs: DataFrame, *, shingle: int = 5, num: int = 80, den: in
         labels = components(links)
     apart = stored(_labelled(pairs.where("many"), labels).where("ca <> cb").select("a").distinct(), "pairs-apart")
     if not apart.isEmpty():
-        around = pairs.join(apart, "a", "left_semi")
-        around = around.select(F.col("a").alias("id")).union(around.select(F.col("b").alias("id"))).distinct()
-        some = stored(around.join(labels, "id", "left").select("id", F.coalesce("component", "id").alias("c")), "near-some")
+        some = stored(_of_keys(pairs.where("many"), apart).join(labels, "id", "left").select("id", F.coalesce("component", "id").alias("c")), "near-some")
         prefixes = stored(_prefixes(texts, some, shingle, num, den), "near-prefixes")
         shares = prefixes.groupBy("s", "c").agg(F.count(F.lit(1)).alias("times"))
         major = shares.groupBy("s").agg(F.max_by("c", F.struct("times", "c")).alias("major"), F.count(F.lit(1)).alias("kinds")).where("kinds > 1").select("s", "major")
