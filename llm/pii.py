@@ -167,16 +167,23 @@ def _secret(text: str, key: bytes) -> str | None:
 
 
 _change: dict[str, Callable[[str, bytes], str | None]] = {"email": _email, "secret": _secret, "iban": _iban, "ip": _ip, "date": _date, "ssn": _ssn, "phone": _phone, "card": _card}
-_found = re.compile(
-    r"(?<![\w.+-])(?P<email>[A-Za-z0-9][A-Za-z0-9._%+-]*@(?:[A-Za-z0-9-]+\.)+[A-Za-z]{2,})"
-    r"|(?<![0-9A-Za-z])(?:(?P<secret>[0-9a-f]{32,128}|[0-9A-F]{32,128})"
-    r"|(?P<iban>[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?)"
-    r"|(?<!\d\.)(?P<ip>\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3})(?!\.\d)"
-    r"|(?P<date>\d{4}-\d{2}-\d{2}|\d{4}/\d{2}/\d{2}|\d{2}[./-]\d{2}[./-]\d{4})"
-    r"|(?P<ssn>\d{3}-\d{2}-\d{4})"
-    r"|(?P<phone>\+\d{1,3}[ .-]?(?:\(\d{2,4}\)|\d{2,4})(?:[ .-]?\d{2,4}){2,3}|\(\d{3}\) ?\d{3}-\d{4}|\d{3}-\d{3}-\d{4})"
-    r"|(?P<card>\d(?:[ -]?\d){12,18}))(?![0-9A-Za-z])"
-)
+_email_pattern = r"[A-Za-z0-9][A-Za-z0-9._%+-]*@(?:[A-Za-z0-9-]+\.)+[A-Za-z]{2,}"
+_patterns = {
+    "secret": r"[0-9a-f]{32,128}|[0-9A-F]{32,128}",
+    "iban": r"[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?",
+    "ip": r"(?<!\d\.)\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3}(?!\.\d)",
+    "date": r"\d{4}-\d{2}-\d{2}|\d{4}/\d{2}/\d{2}|\d{2}[./-]\d{2}[./-]\d{4}",
+    "ssn": r"\d{3}-\d{2}-\d{4}",
+    "phone": r"\+\d{1,3}[ .-]?(?:\(\d{2,4}\)|\d{2,4})(?:[ .-]?\d{2,4}){2,3}|\(\d{3}\) ?\d{3}-\d{4}|\d{3}-\d{3}-\d{4}",
+    "card": r"\d(?:[ -]?\d){12,18}",
+}
+_before, _after = r"(?<![0-9A-Za-z])", r"(?![0-9A-Za-z])"
+_found = re.compile(rf"(?<![\w.+-])(?P<email>{_email_pattern})|{_before}(?:" + "|".join(f"(?P<{k}>{p})" for k, p in _patterns.items()) + f"){_after}")
+#: Each kind's pattern alone; where a match can take in what follows a value, one for each length, longest first.
+_alone = {k: [re.compile(f"{_before}(?:{p}){_after}")] for k, p in _patterns.items()} | {
+    "iban": [re.compile(rf"{_before}[A-Z]{{2}}\d{{2}}(?: ?[A-Z0-9]){{{n - 4}}}{_after}") for n in range(34, 14, -1)],
+    "card": [re.compile(rf"{_before}\d(?:[ -]?\d){{{n - 1}}}{_after}") for n in range(19, 12, -1)],
+}
 
 
 @lru_cache(100_000)
@@ -184,6 +191,15 @@ def _pseudonym(kind: str, text: str, key: bytes) -> str | None:
     return _change[kind](text, key)
 
 
+def _other(text: str, at: int, key: bytes) -> tuple[str, str, str] | None:
+    """Kind, value and pseudonym of the first match at a place that passes its check."""
+    for kind, patterns in _alone.items():
+        for pattern in patterns:
+            if (m := pattern.match(text, at)) and (new := _pseudonym(kind, m[0], key)) is not None:
+                return kind, m[0], new
+    return None
+
+
 #: Every pattern needs a digit or an at sign, which most words don't have.
 _hint = re.compile(r"[0-9@]|[0-9A-Fa-f]{32}")
 
@@ -193,16 +209,23 @@ def pseudonymise(text: str, key: bytes) -> tuple[str, list[dict]]:
     if not _hint.search(text):
         return text, []
     out, spans, at, size = [], [], 0, 0
-    for m in _found.finditer(text):
-        kind, old = m.lastgroup, m[0]
+    m = _found.search(text)
+    while m:
+        start, kind, old = m.start(), m.lastgroup, m[0]
         new = _pseudonym(kind, old, key)
         if new is None:
-            continue
-        out += (text[at : m.start()], new)
-        size += m.start() - at
+            # the match may have taken in what follows a value, or another kind may stand here
+            found = _other(text, start, key)
+            if found is None:
+                m = _found.search(text, start + 1)
+                continue
+            kind, old, new = found
+        out += (text[at:start], new)
+        size += start - at
         spans.append({"kind": kind, "start": size, "end": size + len(new)})
         size += len(new)
-        at = m.end()
+        at = start + len(old)
+        m = _found.search(text, at)
     return "".join([*out, text[at:]]), spans
 
 
