@@ -73,11 +73,14 @@ def coherence(rows: DataFrame, norm: Column) -> DataFrame:
 
 
 def surplus_turns(rows: DataFrame, licensed: DataFrame, norm: Column, ref_norm: Column) -> DataFrame:
-    """Texts that a session repeats more often than its reference does: session_id, norm, surplus."""
-    shown = rows.groupBy("session_id", norm.alias("norm")).agg(F.count(F.lit(1)).alias("n")).where("norm <> ''")
-    allowed = licensed.groupBy("session_id", ref_norm.alias("norm")).agg(F.count(F.lit(1)).alias("m"))
+    """Turns that a session repeats more often than its reference does: session_id, norm, surplus.
+
+    A turn is its role and text; a text that two roles repeat has a row for each.
+    """
+    shown = rows.groupBy("session_id", "role", norm.alias("norm")).agg(F.count(F.lit(1)).alias("n"))
+    allowed = licensed.groupBy("session_id", F.col("ref_role").alias("role"), ref_norm.alias("norm")).agg(F.count(F.lit(1)).alias("m"))
     surplus = F.col("n") - F.greatest(F.coalesce("m", F.lit(0)), F.lit(1))
-    return shown.join(allowed, ["session_id", "norm"], "left").select("session_id", "norm", surplus.alias("surplus")).where("surplus > 0")
+    return shown.join(allowed, ["session_id", "role", "norm"], "left").select("session_id", "norm", surplus.alias("surplus")).where("surplus > 0")
 
 
 _ERRORS = "key string, distance int, substitutions int, insertions int, deletions int, matches int"

@@ -216,8 +216,8 @@ def recall(spark, sf):
 
 @query("oh7_surplus_turns", f"WITH {ROWS_SQL}, s AS (SELECT session_id, trim(regexp_replace(lower(left(text, 12)), '[^a-z0-9]+', ' ', 'g')) AS norm, count(*) AS n FROM rows GROUP BY ALL), r AS (SELECT session_id, trim(regexp_replace(lower(left(ref_text, 12)), '[^a-z0-9]+', ' ', 'g')) AS norm, count(*) AS m FROM refs WHERE ordinal % 2 = 0 GROUP BY ALL) SELECT session_id, norm, n - greatest(coalesce(m, 0), 1) AS surplus FROM s LEFT JOIN r USING (session_id, norm) WHERE norm <> '' AND n > greatest(coalesce(m, 0), 1)")
 def turns(spark, sf):
-    head = lambda c: T.norm_duplicate(F.left(F.col(c), F.lit(12)))
-    return sequences.surplus_turns(transcript(spark, sf), reference(spark, sf).where("ordinal % 2 = 0"), head("text"), head("ref_text"))
+    wording = lambda c: F.array_join(T.score_tokens(F.col(c)), " ")
+    return sequences.surplus_turns(transcript(spark, sf), reference(spark, sf), wording("text"), wording("ref_text"))
 
 
 @query("oh8_turn_coherence", f"WITH {ROWS_SQL}, n AS (SELECT *, trim(regexp_replace(lower(text), '[^a-z0-9]+', ' ', 'g')) AS norm, FROM (SELECT * FROM rows WHERE position % 3 <> 1)) SELECT session_id, segment_id, concat_ws(',', CASE WHEN lag(speaker_id) OVER w = speaker_id AND lag(role) OVER w <> role THEN 'identity' END, CASE WHEN lag(start_ms) OVER w > start_ms THEN 'chronology' END, CASE WHEN lag(norm) OVER w = norm AND norm <> '' THEN 'wording' END, CASE WHEN lag(role) OVER w = role THEN 'role' END) AS defects FROM n WINDOW w AS (PARTITION BY session_id ORDER BY position)")
