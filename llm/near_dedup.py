@@ -24,7 +24,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from llm import arrays as A
@@ -39,6 +39,9 @@ _factors = _random.integers(0, 1 << 63, MINIMA, np.uint64) * np.uint64(2) + np.u
 _terms = _random.integers(0, 1 << 63, MINIMA, np.uint64)
 _kept = list(combinations(range(MINIMA // CHUNKS), MINIMA // CHUNKS - ERRORS))
 KEYS = CHUNKS * len(_kept)
+#: A component of so many documents is compared as a whole; a task then holds so
+#: many outliers, and so many members pass it. These set costs, never results.
+LARGE, OUTLIERS, MEMBERS = 64, 64, 4096
 _lower = np.arange(256, dtype=np.uint8)
 _lower[65:91] += 32
 
@@ -90,6 +93,27 @@ def _sketch(n: int):
     return run
 
 
+#: Minima of a signature by their last 4 bits, 16 to a long.
+LANES = MINIMA // 16
+_LANE_NAMES = [f"lane{i}" for i in range(LANES)]
+
+
+def _lanes(signatures: np.ndarray) -> np.ndarray:
+    low = (signatures & np.uint16(15)).astype(np.uint64).reshape(len(signatures), LANES, 16)
+    return np.bitwise_or.reduce(low << (np.arange(16, dtype=np.uint64) * A.U64(4)), axis=2).view(np.int64)
+
+
+def _least_distance(left: list[Column], right: list[Column]) -> Column:
+    """Minima that differ in their last 4 bits: never more than differ at all."""
+    out = F.lit(0)
+    for a, b in zip(left, right):
+        x = a.bitwiseXOR(b)
+        x = x.bitwiseOR(F.shiftrightunsigned(x, 1))
+        x = x.bitwiseOR(F.shiftrightunsigned(x, 2)).bitwiseAND(F.lit(0x1111111111111111))
+        out = out + F.bit_count(x)
+    return out
+
+
 def _keys(signatures: np.ndarray) -> np.ndarray:
     """The 120 keys of each signature."""
     parts = signatures.reshape(len(signatures), CHUNKS, -1).astype(np.uint64)
@@ -236,7 +260,12 @@ def _listed_shingles(n: int):
             sets = shingle_sets(chunk.column("text"), n)
             ends = np.cumsum([0, *(len(s) for s in sets)]).astype(np.int32)
             low = np.array([s.sum(dtype=np.uint64) for s in sets], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([chunk.column("id"), pa.array(low), pa.array(np.diff(ends)), pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(sets).view(np.int64)))], ["id", "low", "n", "shingles"])
+            lanes = np.zeros((len(sets), LANES), np.int64)
+            full = [i for i, s in enumerate(sets) if len(s)]
+            if full:
+                lanes[full] = _lanes(_signatures([sets[i] for i in full]))
+            columns = [chunk.column("id"), pa.array(low), pa.array(np.diff(ends)), *(pa.array(x) for x in lanes.T.copy()), pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(sets).view(np.int64)))]
+            yield pa.RecordBatch.from_arrays(columns, ["id", "low", "n", *_LANE_NAMES, "shingles"])
 
     return run
 
@@ -249,13 +278,14 @@ def _prefixes(docs: DataFrame, nodes: DataFrame, n: int, num: int, den: int) ->
     shingles that two of the nodes (id, c) have are listed.
     """
     texts = join_checked(docs.select(F.col("doc_id").alias("id"), "text"), nodes, ["id"]).where("text is not null")
-    sets = texts.select("id", "text").mapInArrow(_listed_shingles(n), "id long, low long, n int, shingles array<long>").dropDuplicates(["id", "low"])
-    listed = stored(sets.select("id", "low", "n", F.explode("shingles").alias("s")), "near-listed")
+    kind = ", ".join(["id long, low long, n int", *(f"{x} long" for x in _LANE_NAMES), "shingles array<long>"])
+    sets = texts.select("id", "text").mapInArrow(_listed_shingles(n), kind).dropDuplicates(["id", "low"])
+    listed = stored(sets.select("id", "low", "n", *_LANE_NAMES, F.explode("shingles").alias("s")), "near-listed")
     times = listed.groupBy("s").agg(F.count(F.lit(1)).alias("times")).where("times > 1")
     alone = F.coalesce("times", F.lit(1))
     ranked = listed.join(times.hint("merge"), "s", "left").withColumn("at", F.row_number().over(Window.partitionBy("id", "low").orderBy(alone, "s")))
     first = F.col("at") <= F.col("n") - F.ceil(F.col("n") * num / den) + 1
-    return ranked.where(first & F.col("times").isNotNull()).select("s", "id", "n", "at").join(nodes.hint("merge"), "id")
+    return ranked.where(first & F.col("times").isNotNull()).select("s", "id", "n", "at", *_LANE_NAMES).join(nodes.hint("merge"), "id")
 
 
 def _with_signatures(pairs: DataFrame, nodes: DataFrame, num: int, den: int) -> DataFrame:
@@ -264,6 +294,99 @@ def _with_signatures(pairs: DataFrame, nodes: DataFrame, num: int, den: int) ->
     return stored(pairs.mapInArrow(_close(num, den), "a long, b long, many boolean, near boolean"), "pairs-near")
 
 
+def _side(prefix: str) -> list[Column]:
+    return [F.col(x).alias(f"{prefix}_{x}") for x in ("id", "c", "n", "at", *_LANE_NAMES)]
+
+
+class _Held:
+    """Up to OUTLIERS sets, searched at once for those that a further set reaches."""
+
+    def __init__(self, ids: list[int], sets: list[np.ndarray]):
+        self.ids, self.sizes = np.array(ids, np.int64), np.array([len(x) for x in sets], np.int64)
+        values, owners = np.concatenate(sets), np.repeat(np.arange(len(sets)), self.sizes)
+        order = np.argsort(values, kind="stable")
+        self.values, self.owners = values[order], owners[order]
+
+    def reached(self, other: np.ndarray, num: int, den: int) -> np.ndarray:
+        low, high = np.searchsorted(self.values, other), np.searchsorted(self.values, other, "right")
+        n = high - low
+        at = np.arange(n.sum()) + np.repeat(low - (np.cumsum(n) - n), n)
+        both = np.bincount(self.owners[at], minlength=len(self.ids))
+        return self.ids[(both > 0) & (den * both >= num * (self.sizes + len(other) - both))]
+
+
+def _reach(n: int, num: int, den: int):
+    """Rows sorted by (component, block), the block's outliers first: one link for each outlier that reaches a member."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group, ids, sets, held, done = None, [], [], None, set()
+        for chunk in A.chunks(batches, "text"):
+            found: tuple[list, list] = ([], [])
+            rows = zip(chunk.column("c").to_pylist(), chunk.column("block").to_pylist(), chunk.column("outlier").to_pylist(), chunk.column("id").to_pylist())
+            for (c, block, outlier, i), s in zip(rows, shingle_sets(chunk.column("text"), n)):
+                if (c, block) != group:
+                    group, ids, sets, held, done = (c, block), [], [], None, set()
+                if outlier:
+                    ids.append(i)
+                    sets.append(s)
+                elif ids and len(done) < len(ids):
+                    held = held or _Held(ids, sets)
+                    for x in held.reached(s, num, den).tolist():
+                        if x not in done:
+                            done.add(x)
+                            found[0].append(min(x, i))
+                            found[1].append(max(x, i))
+            yield pa.RecordBatch.from_arrays([pa.array(found[0], pa.int64()), pa.array(found[1], pa.int64())], ["a", "b"])
+
+    return run
+
+
+def _into_large(docs: DataFrame, members: DataFrame, large: DataFrame, n: int, num: int, den: int) -> DataFrame:
+    """Links of documents with members of a large component (c, size) other than their own.
+
+    A document takes part where a member may share enough with it, by the places
+    of a shingle that both have among their rarest. It is compared with all
+    members: OUTLIERS documents are held while the members pass, dealt in blocks
+    of MEMBERS, so no pair becomes a row.
+    """
+    inside = members.join(large.hint("merge"), "c")
+    reach = inside.groupBy("s", "c").agg(F.min("n").alias("least"), F.max(F.col("n") - F.col("at")).alias("rest")).withColumnRenamed("c", "cc")
+    able = (num + den) * (1 + F.least(F.col("n") - F.col("at"), "rest")) >= num * (F.col("n") + F.col("least"))
+    outliers = stored(members.join(reach.hint("merge"), "s").where((F.col("c") != F.col("cc")) & able).select(F.col("cc").alias("c"), "id").distinct(), "near-outliers")
+    sizes = outliers.groupBy("c").agg(F.ceil(F.count(F.lit(1)) / OUTLIERS).alias("blocks")).join(large.select("c", F.ceil(F.col("size") / MEMBERS).alias("parts")), "c")
+    held = outliers.join(sizes.hint("merge"), "c").select("c", "id", F.explode(F.sequence(F.lit(0), F.col("parts").cast("int") - 1)).alias("part"), F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int").alias("block"), F.lit(True).alias("outlier"))
+    passing = inside.select("c", "id").distinct().join(sizes.hint("merge"), "c").select("c", "id", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int").alias("part"), F.explode(F.sequence(F.lit(0), F.col("blocks").cast("int") - 1)).alias("block"), F.lit(False).alias("outlier"))
+    rows = stored(held.unionByName(passing).select("c", "id", "outlier", F.concat_ws("-", "part", "block").alias("block")), "near-blocks")
+    texts = join_checked(docs.withColumnRenamed("doc_id", "id"), rows, ["id"]).select("c", "block", "outlier", "id", "text")
+    texts = texts.repartition(partitions(docs.sparkSession), "c", "block").sortWithinPartitions("c", "block", F.col("outlier").desc())
+    return texts.mapInArrow(_reach(n, num, den), "a long, b long").where("a <> b").distinct()
+
+
+def _across(docs: DataFrame, prefixes: DataFrame, tested: DataFrame, labels: DataFrame, n: int, num: int, den: int) -> DataFrame:
+    """Labels after all links between the components of `prefixes`.
+
+    Large components take in what reaches one of their members; other documents
+    that share a shingle among their rarest are compared pair by pair.
+    """
+    members = stored(prefixes, "near-prefixes")
+    sizes = members.select("c", "id").distinct().groupBy("c").agg(F.count(F.lit(1)).alias("size"))
+    large = stored(sizes.where(F.col("size") >= LARGE), "near-large")
+    links = docs.sparkSession.createDataFrame([], "a long, b long")
+    if not large.isEmpty():
+        links = stored(_into_large(docs, members, large, n, num, den), "near-reached")
+    small = members.join(large.select("c").hint("merge"), "c", "left_anti")
+    # if this is the first shingle that both have, they share it and what follows at most
+    able = (num + den) * (1 + F.least(F.col("x_n") - F.col("x_at"), F.col("y_n") - F.col("y_at"))) >= num * (F.col("x_n") + F.col("y_n"))
+    close = _least_distance([F.col(f"x_{x}") for x in _LANE_NAMES], [F.col(f"y_{x}") for x in _LANE_NAMES]) <= DISTANCE
+    shares = small.groupBy("s", "c").agg(F.count(F.lit(1)).alias("times"))
+    major = shares.groupBy("s").agg(F.max_by("c", F.struct("times", "c")).alias("major"), F.count(F.lit(1)).alias("kinds")).where("kinds > 1").select("s", "major")
+    minor = small.join(major.hint("merge"), "s").where("c <> major").select("s", *_side("x"))
+    found = minor.join(small.select("s", *_side("y")).hint("merge"), "s").where((F.col("x_c") != F.col("y_c")) & able & close)
+    found = found.select(F.least("x_id", "y_id").alias("a"), F.greatest("x_id", "y_id").alias("b")).distinct().join(tested, ["a", "b"], "left_anti")
+    links = links.union(_links(docs, stored(found, "pairs-more"), n, num, den))
+    return components(labels.select(F.col("id").alias("a"), F.col("component").alias("b")).union(links))
+
+
 def near_duplicates(docs: DataFrame, *, shingle: int = 5, num: int = 80, den: int = 100, id: str = "doc_id", text: str = "text", batch: int = 4000) -> DataFrame:
     """Components of documents linked by a shingle-set similarity of num/den or more.
 
@@ -297,18 +420,11 @@ def near_duplicates(docs: DataFrame, *, shingle: int = 5, num: int = 80, den: in
     apart = stored(_labelled(pairs.where("many"), labels).where("ca <> cb").select("a").distinct(), "pairs-apart")
     if not apart.isEmpty():
         some = stored(_of_keys(pairs.where("many"), apart).join(labels, "id", "left").select("id", F.coalesce("component", "id").alias("c")), "near-some")
-        prefixes = stored(_prefixes(texts, some, shingle, num, den), "near-prefixes")
-        shares = prefixes.groupBy("s", "c").agg(F.count(F.lit(1)).alias("times"))
-        major = shares.groupBy("s").agg(F.max_by("c", F.struct("times", "c")).alias("major"), F.count(F.lit(1)).alias("kinds")).where("kinds > 1").select("s", "major")
-        minor = prefixes.join(major, "s").where("c <> major").select(F.col("s").alias("t"), F.col("id").alias("x"), F.col("c").alias("cx"), F.col("n").alias("nx"), F.col("at").alias("ax"))
-        # if this is the first shingle that both have, they share it and what follows at most
-        able = (num + den) * (1 + F.least(F.col("n") - F.col("at"), F.col("nx") - F.col("ax"))) >= num * (F.col("n") + F.col("nx"))
-        more = minor.join(prefixes, (F.col("t") == F.col("s")) & (F.col("c") != F.col("cx")) & able).select(F.least("x", "id").alias("a"), F.greatest("x", "id").alias("b")).distinct()
-        more = stored(more.join(pairs.where("near").select("a", "b"), ["a", "b"], "left_anti"), "pairs-more")
-        links = links.union(_links(texts, more, shingle, num, den))
-        labels = components(links)
+        tested = pairs.where("near").select("a", "b")
+        labels = _across(texts, _prefixes(texts, some, shingle, num, den), tested, labels, shingle, num, den)
     found = classes.join(labels, "id", "left").select("low", "high", F.coalesce("component", "id").alias("c"))
-    joined = sketches.join(found.hint("merge"), ["low", "high"], "left")
-    component = F.when(F.col("n_shingles") > 0, F.col("c")).otherwise(F.col("doc_id"))
-    component = F.when(F.col("doc_id").isNotNull(), component)
+    full = F.col("n_shingles") > 0
+    joined = sketches.where(full).join(found.hint("merge"), ["low", "high"], "left")
+    joined = joined.unionByName(sketches.where(~full).withColumn("c", F.col("doc_id")))  # empty sets would all meet in one task
+    component = F.when(F.col("doc_id").isNotNull(), F.col("c"))
     return joined.select("doc_id", "n_shingles", component.alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
