@@ -60,10 +60,10 @@ def op2_permutation_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """documents as files of a tree: source / thousands / hundreds / doc_id."""
-    docs = _table(spark, sf_dir, "documents")
-    path = F.concat_ws("/", F.coalesce("source", F.lit("none")), F.floor(F.col("doc_id") / 1000), F.floor(F.col("doc_id") / 100), F.col("doc_id"))
-    found = licenses.licenses(docs.select(path.alias("path"), "text"))
-    return found.select(F.element_at(F.split("path", "/"), -1).cast("long").alias("doc_id"), "path", "license", F.round("score", 6).alias("score"), "how", "source_dir")
+    docs, part = _table(spark, sf_dir, "documents"), lambda c: F.coalesce(c.cast("string"), F.lit("none"))
+    path = F.concat_ws("/", *(part(c) for c in (F.col("source"), F.floor(F.col("doc_id") / 1000), F.floor(F.col("doc_id") / 100), F.col("doc_id"))))
+    found = licenses.licenses(docs.select(path.alias("path"), "text", "doc_id"), keep=["doc_id"])
+    return found.select("kept.doc_id", "path", "license", F.round("score", 6).alias("score"), "how", "source_dir")
 
 
 def op6_pii_feistel(spark: SparkSession, sf_dir: str) -> DataFrame:
