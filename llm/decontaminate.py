@@ -56,7 +56,7 @@ def grams(data: np.ndarray) -> np.ndarray:
 
 def budget(m: int, rate: float) -> int:
     """Edits allowed in an item of m bytes, few enough that the lemma asks for a shared q-gram."""
-    return max(0, min(int(m * rate), m // Q - 2))
+    return max(0, min(int(m * rate), m // Q - 1))
 
 
 class Index:
@@ -219,9 +219,10 @@ def contamination(docs: DataFrame, benchmark: DataFrame, *, rate: float = 0.1, t
     """`docs` with a column benchmark_hits of (item_id, start, end, edits), by item.
 
     start and end are places in the folded text; an item counts once in a text,
-    at its best region. Items without letters or digits, or shorter than 2 * q
-    bytes when folded, are not searched. Null texts have no hits, and a column
-    with the result's name is replaced.
+    at its best region. Items of fewer than q (8) folded bytes are not searched:
+    so few letters stand in most texts by chance. Items of 8 to 15 bytes have an
+    edit at most, as 10 % and the lemma allow. Null texts have no hits, and a
+    column with the result's name is replaced.
     """
     docs = docs.drop("benchmark_hits").withColumn(text, F.col(text).cast("string"))
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)

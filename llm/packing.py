@@ -191,6 +191,6 @@ def pack(docs: DataFrame, *, capacity: int = 4096, end: int = 2, tokenizer: str
     most = max([1, *(m // capacity for _, m in counts.values())])
     shared = spark.sparkContext.broadcast((planned, firsts, before, most, windows))
     offsets = groups.withColumn("before", F.coalesce(F.sum("n").over(Window.partitionBy("rest").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    ranked = tokens.withColumn("at", F.row_number().over(Window.partitionBy("rest", "salt").orderBy("doc_id")))
+    ranked = tokens.withColumn("at", F.row_number().over(Window.partitionBy("rest", "salt").orderBy("doc_id", "packed")))
     ranked = ranked.join(offsets.select("rest", "salt", "before").hint("merge"), ["rest", "salt"]).select("doc_id", "packed", "tokens", "rest", (F.col("before") + F.col("at") - 1).alias("rank"))
     return ranked.mapInArrow(_placed(shared, capacity), PIECES)

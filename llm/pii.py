@@ -126,8 +126,8 @@ def _date(text: str, key: bytes) -> str | None:
         new = FIRST_DAY + timedelta(feistel(found, DAYS, key, "date"))
         out = {0: f"{new.year:04d}"} if not order[0] else {2: f"{new.year:04d}"}
         names = [i for i in (0, 1, 2) if i not in out]
-        first = new.month if not order[0] or swap != (month, day) else new.day
-        second = new.day if first is new.month and (not order[0] or swap != (month, day)) else new.month
+        month_first = not order[0] or swap != (month, day)
+        first, second = (new.month, new.day) if month_first else (new.day, new.month)
         out |= {names[0]: f"{first:02d}", names[1]: f"{second:02d}"}
         return sep.join(out[i] for i in (0, 1, 2))
     return None
