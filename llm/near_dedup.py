@@ -349,13 +349,14 @@ def _into_large(docs: DataFrame, members: DataFrame, large: DataFrame, n: int, n
     members: OUTLIERS documents are held while the members pass, dealt in blocks
     of MEMBERS, so no pair becomes a row.
     """
-    inside = members.join(large.hint("merge"), "c")
+    inside = join_checked(members, large, ["c"])
     reach = inside.groupBy("s", "c").agg(F.min("n").alias("least"), F.max(F.col("n") - F.col("at")).alias("rest")).withColumnRenamed("c", "cc")
     able = (num + den) * (1 + F.least(F.col("n") - F.col("at"), "rest")) >= num * (F.col("n") + F.col("least"))
     outliers = stored(members.join(reach.hint("merge"), "s").where((F.col("c") != F.col("cc")) & able).select(F.col("cc").alias("c"), "id").distinct(), "near-outliers")
     sizes = outliers.groupBy("c").agg(F.ceil(F.count(F.lit(1)) / OUTLIERS).alias("blocks")).join(large.select("c", F.ceil(F.col("size") / MEMBERS).alias("parts")), "c")
-    held = outliers.join(sizes.hint("merge"), "c").select("c", "id", F.explode(F.sequence(F.lit(0), F.col("parts").cast("int") - 1)).alias("part"), F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int").alias("block"), F.lit(True).alias("outlier"))
-    passing = inside.select("c", "id").distinct().join(sizes.hint("merge"), "c").select("c", "id", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int").alias("part"), F.explode(F.sequence(F.lit(0), F.col("blocks").cast("int") - 1)).alias("block"), F.lit(False).alias("outlier"))
+    sizes = stored(sizes, "near-dealt")
+    held = join_checked(outliers, sizes, ["c"]).select("c", "id", F.explode(F.sequence(F.lit(0), F.col("parts").cast("int") - 1)).alias("part"), F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int").alias("block"), F.lit(True).alias("outlier"))
+    passing = join_checked(inside.select("c", "id").distinct(), sizes, ["c"]).select("c", "id", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int").alias("part"), F.explode(F.sequence(F.lit(0), F.col("blocks").cast("int") - 1)).alias("block"), F.lit(False).alias("outlier"))
     rows = stored(held.unionByName(passing).select("c", "id", "outlier", F.concat_ws("-", "part", "block").alias("block")), "near-blocks")
     texts = join_checked(docs.withColumnRenamed("doc_id", "id"), rows, ["id"]).select("c", "block", "outlier", "id", "text")
     texts = texts.repartition(partitions(docs.sparkSession), "c", "block").sortWithinPartitions("c", "block", F.col("outlier").desc())
@@ -374,7 +375,7 @@ def _across(docs: DataFrame, prefixes: DataFrame, tested: DataFrame, labels: Dat
     links = docs.sparkSession.createDataFrame([], "a long, b long")
     if not large.isEmpty():
         links = stored(_into_large(docs, members, large, n, num, den), "near-reached")
-    small = members.join(large.select("c").hint("merge"), "c", "left_anti")
+    small = join_checked(members, large.select("c"), ["c"], how="left_anti")
     # if this is the first shingle that both have, they share it and what follows at most
     able = (num + den) * (1 + F.least(F.col("x_n") - F.col("x_at"), F.col("y_n") - F.col("y_at"))) >= num * (F.col("x_n") + F.col("y_n"))
     close = _least_distance([F.col(f"x_{x}") for x in _LANE_NAMES], [F.col(f"y_{x}") for x in _LANE_NAMES]) <= DISTANCE

@@ -44,18 +44,28 @@ def op5_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bytes covered by repeated 400-byte strings, removed; n_repeated_words tells of repeated 50-word strings.
+
+    Passages of 50 words and a few more are often shorter than 400 bytes, so the
+    last column comes from the same passes over words; nothing is removed by it.
+    """
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    spans = suffix_dedup.repeated_spans(docs)
-    cut = suffix_dedup.without_spans(docs, spans).select(F.col("row_key").alias("cut_key"), F.octet_length("kept").cast("long").alias("n_kept"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("cut_sha"))
-    cut = cut.dropDuplicates(["cut_key"])
+    cut = suffix_dedup.without_spans(docs, suffix_dedup.repeated_spans(docs))
+    cut = cut.select("id_key", "row_key", F.octet_length("kept").cast("long").alias("n_kept"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("cut_sha"), F.lit(None).cast("long").alias("n_covered"))
+    covered = F.aggregate("spans", F.lit(0).cast("long"), lambda n, x: n + x["end"] - x["start"])
+    passages = suffix_dedup.repeated_spans(docs, depth=50, gram=4, unit="words").select("id_key", "row_key", F.lit(None).cast("long"), F.lit(None).cast("long"), F.lit(None).cast("string"), covered)
+    found = cut.dropDuplicates(["id_key", "row_key"]).union(passages).groupBy(F.col("id_key").alias("cut_id"), F.col("row_key").alias("cut_key"))
+    found = found.agg(*(F.max(c).alias(c) for c in ("n_kept", "n_spans", "cut_sha", "n_covered")))
     text = F.coalesce("text", F.lit(""))
-    every = with_row_key(docs).select("doc_id", "row_key", F.octet_length(text).cast("long").alias("n_bytes"), F.sha2(text.cast("binary"), 256).alias("sha"))
-    return every.join(cut, F.col("row_key") == F.col("cut_key"), "left").select(
+    every = suffix_dedup.keyed(docs).select("doc_id", "id_key", "row_key", F.octet_length(text).cast("long").alias("n_bytes"), F.sha2(text.cast("binary"), 256).alias("sha"))
+    none = F.lit(0).cast("long")
+    return every.join(found, (F.col("row_key") == F.col("cut_key")) & (F.col("id_key") == F.col("cut_id")), "left").select(
         "doc_id",
         "n_bytes",
         (F.col("n_bytes") - F.coalesce("n_kept", "n_bytes")).alias("n_removed"),
-        F.coalesce("n_spans", F.lit(0).cast("long")).alias("n_spans"),
+        F.coalesce("n_spans", none).alias("n_spans"),
         F.coalesce("cut_sha", "sha").alias("kept_sha256"),
+        F.coalesce("n_covered", none).alias("n_repeated_words"),
     )
 
 

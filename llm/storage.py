@@ -5,8 +5,9 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, BinaryType, DataType, StringType, StructType
 
 #: A side is broadcast only when it has at most so many rows and bytes; beyond
 #: either bound the same join shuffles.
@@ -31,6 +32,8 @@ def shared_dir(spark: SparkSession) -> str:
     """
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         path = "file://" + tempfile.mkdtemp(prefix="corpus-")
         spark.conf.set("spark.checkpoint.dir", path)
     return path.rstrip("/")
@@ -61,10 +64,27 @@ def with_row_key(docs: DataFrame, id: str = "doc_id", text: str = "text") -> Dat
     )
 
 
-def join_checked(big: DataFrame, small: DataFrame, on: list[str], blob: str | None = None) -> DataFrame:
-    """Inner join with a stored side, broadcast only if its measured size is within the bounds."""
-    size = F.sum(F.length(blob) + 16) if blob else F.lit(0)
-    n, total = small.agg(F.count(F.lit(1)), size).first()
+def join_checked(big: DataFrame, small: DataFrame, on: list[str], how: str = "inner") -> DataFrame:
+    """Join with a stored side, broadcast only if its measured rows and bytes are within the bounds.
+
+    A row's bytes are those of its fixed columns, of its strings and binaries, and
+    of the items of its arrays.
+    """
+    width = F.lit(16)
+    for field in small.schema:
+        width = width + _bytes_of(F.col(field.name), field.dataType)
+    n, total = small.agg(F.count(F.lit(1)), F.sum(width)).first()
     if n <= BROADCAST_ROWS and (total or 0) <= BROADCAST_BYTES:
-        return big.join(F.broadcast(small), on)
-    return big.join(small.hint("merge"), on)
+        return big.join(F.broadcast(small), on, how)
+    return big.join(small.hint("merge"), on, how)
+
+
+def _bytes_of(value: Column, kind: DataType) -> Column:
+    """Bytes of a value in a joined row: arrays by their length, as their items are of fixed size here."""
+    if isinstance(kind, ArrayType):
+        item = kind.elementType
+        each = 16 + 8 * len(item.fields) if isinstance(item, StructType) else 16
+        return F.coalesce(F.size(value), F.lit(0)) * each + 16
+    if isinstance(kind, (StringType, BinaryType)):
+        return F.coalesce(F.octet_length(value), F.lit(0)) + 16
+    return F.lit(8)

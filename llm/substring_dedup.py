@@ -231,7 +231,7 @@ def repeated_spans(docs: DataFrame, *, window: int = 50, id: str = "doc_id", tex
     keyed = with_row_key(docs, id, text).where("doc_id is not null and text is not null")
     hits = keyed.mapInArrow(_probes(buckets, block), SENT).groupBy("bucket").applyInArrow(_match_probes, SENT)
     runs = stored(hits.groupBy("chunk").applyInArrow(_candidates(block, window), "row_key long, runs binary").dropDuplicates(["row_key"]), "substring-runs")
-    sent = join_checked(keyed, runs, ["row_key"], "runs").mapInArrow(_fingerprints(buckets, window), SENT)
+    sent = join_checked(keyed, runs, ["row_key"]).mapInArrow(_fingerprints(buckets, window), SENT)
     found = sent.groupBy("bucket").applyInArrow(_match_windows, SENT).groupBy("chunk").applyInArrow(_merged(window), SPANS)
     return stored(found.dropDuplicates(["row_key", "doc_id"]), "substring-spans")
 
@@ -250,5 +250,5 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def without_spans(docs: DataFrame, spans: DataFrame, *, id: str = "doc_id", text: str = "text") -> DataFrame:
     """The documents that have spans, with those words gone and the rest joined by one space."""
-    both = join_checked(with_row_key(docs, id, text), spans, ["row_key", "doc_id"], None)
+    both = join_checked(with_row_key(docs, id, text), spans, ["row_key", "doc_id"])
     return both.select("doc_id", "row_key", "text", "spans").mapInArrow(_cut, "doc_id long, row_key long, text string, spans array<struct<start:int,end:int>>")

@@ -67,8 +67,10 @@ def near(docs):
 
 
 def suffix(docs):
-    times = Counter()
+    times, passages = Counter(), Counter()
     for d in docs:
+        w = WORD.findall((d["text"] or "").encode())
+        passages.update(hash(tuple(w[i : i + 50])) for i in range(len(w) - 49))
         b = (d["text"] or "").encode()
         times.update(hash(b[i : i + 400]) for i in range(len(b) - 399))
     out = {}
@@ -78,12 +80,17 @@ def suffix(docs):
         for i in range(len(b) - 399):
             if times[hash(b[i : i + 400])] > 1:
                 gone[i : i + 400] = b"\1" * 400
-        out[d["doc_id"]] = (len(b), sum(gone), len(re.findall(b"\1+", bytes(gone))), sha(bytes(c for c, g in zip(b, gone) if not g)))
+        w = WORD.findall(b)
+        held = bytearray(len(w))
+        for i in range(len(w) - 49):
+            if passages[hash(tuple(w[i : i + 50]))] > 1:
+                held[i : i + 50] = b"\1" * 50
+        out[d["doc_id"]] = (len(b), sum(gone), len(re.findall(b"\1+", bytes(gone))), sha(bytes(c for c, g in zip(b, gone) if not g)), sum(held))
     return out
 
 
 @pytest.mark.parametrize("which", [0, 1])
-@pytest.mark.parametrize("name, brute, columns", [(ALL[0], substring, "n_words n_removed kept_sha256"), (ALL[1], near, "n_shingles component_id kept"), (ALL[2], suffix, "n_bytes n_removed n_spans kept_sha256")])
+@pytest.mark.parametrize("name, brute, columns", [(ALL[0], substring, "n_words n_removed kept_sha256"), (ALL[1], near, "n_shingles component_id kept"), (ALL[2], suffix, "n_bytes n_removed n_spans kept_sha256 n_repeated_words")])
 def test_equals_brute_force(spark, tmp_path, which, name, brute, columns):
     sf = dirs(tmp_path)[which]
     want = brute(tables.read(sf))
