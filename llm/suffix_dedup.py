@@ -39,7 +39,7 @@ from llm.substring_dedup import sent_schema as SENT_SCHEMA
 
 SPANS = "id_key long, row_key long, spans array<struct<start:int,end:int>>"
 _RECORDS = "id_key long, row_key long, start int, n int, core long, whole long"
-_chunk_bytes = 1 << 20
+_chunk_bytes = 1 << 19
 UNITS = ("bytes", "words")
 
 
