@@ -55,3 +55,17 @@ rows AS (SELECT *, start_ms + length(text) * CASE WHEN position % 2 = 0 THEN 60
 refs AS (SELECT session_id, position AS ordinal, role AS ref_role, start_ms + 500 AS ref_start, end_ms + 500 AS ref_end, text AS ref_text
   FROM rows WHERE role IN ('DOCTOR', 'PATIENT'))"""
 LOGS_SQL = "logs AS (SELECT user_id AS session_id, event_type AS event, ts, value, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k, event_id FROM events)"
+
+
+def timed_words(rows: DataFrame) -> DataFrame:
+    """Scored words of transcript rows, each with its even share of the row's time: i, n, word, w_start, w_end."""
+    ws = F.regexp_extract_all(F.lower("text"), F.lit("[a-z']+"), F.lit(0))
+    each = rows.select("*", F.size(ws).alias("n"), F.posexplode(ws).alias("i", "word"))
+    at = lambda k: F.expr(f"start_ms + (end_ms - start_ms) * {k} div n")
+    return each.select("session_id", "position", "segment_id", "speaker_id", "role", "i", "n", "word", at("i").alias("w_start"), at("(i + 1)").alias("w_end"))
+
+
+#: Follows ROWS_SQL.
+WORDS_SQL = """wl AS (SELECT *, regexp_extract_all(lower(text), '[a-z'']+') AS ws FROM rows),
+words AS (SELECT session_id, position, segment_id, speaker_id, role, CAST(j - 1 AS INT) AS i, CAST(len(ws) AS INT) AS n, ws[j] AS word,
+  start_ms + (end_ms - start_ms) * (j - 1) // len(ws) AS w_start, start_ms + (end_ms - start_ms) * j // len(ws) AS w_end FROM (SELECT *, unnest(range(1, len(ws) + 1)) AS j FROM wl))"""

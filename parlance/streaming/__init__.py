@@ -1 +1 @@
-"""See the modules of this package."""
+"""Stateful rules over streams."""
