@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from parlance.plans import interval_queries, live_queries, log_queries, text_queries  # noqa: F401
+from parlance.plans import file_queries, interval_queries, live_queries, log_queries, text_queries  # noqa: F401
 from parlance.plans.registry import QUERIES, SQL
 
 __all__ = ["QUERIES", "SQL"]
