@@ -167,11 +167,6 @@ def confusion(spark, sf):
     return attribution.confusion(intervals.expected_roles(transcript(spark, sf), reference(spark, sf)))
 
 
-@query("of16_duplicate_starts", f"WITH {ROWS_SQL} SELECT session_id, speaker_id, CAST(start_ms // 20000 AS BIGINT) AS start_slot, count(*) AS n_rows, count(*) - 1 AS removable FROM rows GROUP BY ALL HAVING count(*) > 1")
-def duplicate_starts(spark, sf):
-    rows = transcript(spark, sf).withColumn("start_slot", F.floor(F.col("start_ms") / 20000))
-    return rows.groupBy("session_id", "speaker_id", "start_slot").agg(F.count(F.lit(1)).alias("n_rows"), (F.count(F.lit(1)) - 1).alias("removable")).where("n_rows > 1")
-
 
 @query("of19_majority_role", f"WITH {ROWS_SQL}, c AS (SELECT session_id, speaker_id, role, count(*) AS n, min(position) AS first_at FROM rows GROUP BY ALL) SELECT session_id, speaker_id, arg_max(role, n * 1000000 - first_at) AS majority_role, max(n) AS votes FROM c GROUP BY session_id, speaker_id")
 def majority(spark, sf):
@@ -189,10 +184,6 @@ def orphans(spark, sf):
     return attribution.orphan_speakers(mapped)
 
 
-@query("of22_flow", f"WITH {ROWS_SQL}, g AS (SELECT session_id, segment_id, start_ms - lag(end_ms) OVER (PARTITION BY session_id ORDER BY position) AS gap_ms FROM rows) SELECT *, CASE WHEN gap_ms > 3000 THEN 'gap' WHEN -gap_ms > 150 THEN 'overlap' END AS flow FROM g")
-def conversation_flow(spark, sf):
-    return intervals.flow(transcript(spark, sf))
-
 
 @query("entry_attribution_report", None)
 def report(spark, sf):
