@@ -88,16 +88,17 @@ def band_pairs(spark, sf):
     return intervals.band_pairs(transcript(spark, sf), 5000)
 
 
-@query("oe14_lane_diff", f"WITH {ROWS_SQL}, lane AS (SELECT * FROM rows WHERE position % 4 <> 3), fixed AS (SELECT segment_id, session_id, CASE WHEN position % 5 = 0 THEN 'DOCTOR' ELSE role END AS role, position FROM rows WHERE position % 6 <> 5) SELECT coalesce(a.segment_id, b.segment_id) AS segment_id, a.role AS live_role, b.role AS corrected_role, CASE WHEN a.segment_id IS NULL THEN 'added' WHEN b.segment_id IS NULL THEN 'removed' WHEN a.role = b.role THEN 'same' ELSE 'changed' END AS change FROM lane a FULL JOIN fixed b ON a.segment_id = b.segment_id")
+@query("oe14_lane_diff", f"WITH {ROWS_SQL}, lane AS (SELECT * FROM rows), fixed AS (SELECT segment_id || CASE WHEN position % 6 = 5 THEN '-new' ELSE '' END AS segment_id, session_id, CASE WHEN position % 5 = 0 THEN 'DOCTOR' ELSE role END AS role, position FROM rows) SELECT coalesce(a.segment_id, b.segment_id) AS segment_id, a.role AS live_role, b.role AS corrected_role, CASE WHEN a.segment_id IS NULL THEN 'added' WHEN b.segment_id IS NULL THEN 'removed' WHEN a.role = b.role THEN 'same' ELSE 'changed' END AS change FROM lane a FULL JOIN fixed b ON a.segment_id = b.segment_id")
 def lane_diff(spark, sf):
     rows = transcript(spark, sf)
-    corrected = rows.where("position % 6 <> 5").withColumn("role", F.when(F.col("position") % 5 == 0, "DOCTOR").otherwise(F.col("role")))
-    return attribution.lane_diff(rows.where("position % 4 <> 3"), corrected)
+    corrected = rows.withColumn("role", F.when(F.col("position") % 5 == 0, "DOCTOR").otherwise(F.col("role")))
+    corrected = corrected.withColumn("segment_id", F.concat("segment_id", F.when(F.col("position") % 6 == 5, "-new").otherwise("")))
+    return attribution.lane_diff(rows, corrected)
 
 
-@query("oe19_same_speaker_neighbours", f"WITH {ROWS_SQL} SELECT session_id, segment_id, CASE WHEN lag(speaker_id) OVER w = speaker_id THEN lag(text) OVER w END AS previous_text, CASE WHEN lead(speaker_id) OVER w = speaker_id THEN lead(text) OVER w END AS next_text FROM (SELECT *, FROM rows WHERE position % 3 <> 1) WINDOW w AS (PARTITION BY session_id ORDER BY start_ms, end_ms, position)")
+@query("oe19_same_speaker_neighbours", f"WITH {ROWS_SQL} SELECT session_id, segment_id, CASE WHEN lag(speaker_id) OVER w = speaker_id THEN lag(text) OVER w END AS previous_text, CASE WHEN lead(speaker_id) OVER w = speaker_id THEN lead(text) OVER w END AS next_text FROM (SELECT * REPLACE ('spk_' || ((position // 2) % 2) AS speaker_id) FROM rows) WINDOW w AS (PARTITION BY session_id ORDER BY start_ms, end_ms, position)")
 def same_speaker(spark, sf):
-    return attribution.same_speaker_context(transcript(spark, sf).where("position % 3 <> 1"))
+    return attribution.same_speaker_context(transcript(spark, sf).withColumn("speaker_id", F.concat(F.lit("spk_"), F.expr("position div 2") % 2)))
 
 
 @query("of1_merged_spans", f"WITH {ROWS_SQL}, {_MERGE.format(name='merged', src='rows')} SELECT * FROM merged")
@@ -113,9 +114,9 @@ def merged_order_spans(spark, sf):
     return intervals.merge_spans(spans, ["session_id"])
 
 
-@query("of3_stitched_rows", f"WITH {ROWS_SQL}, m AS (SELECT *, CASE WHEN lag(role) OVER w = role AND start_ms - lag(end_ms) OVER w <= 2000 THEN 0 ELSE 1 END AS fresh FROM (SELECT * FROM rows WHERE position % 3 <> 2) WINDOW w AS (PARTITION BY session_id ORDER BY position)), i AS (SELECT *, sum(fresh) OVER (PARTITION BY session_id ORDER BY position ROWS UNBOUNDED PRECEDING) AS run FROM m) SELECT session_id, min(position) AS first_position, min(role) AS role, CAST(min(start_ms) AS BIGINT) AS start_ms, CAST(max(end_ms) AS BIGINT) AS end_ms, count(*) AS n_rows, string_agg(text, ' ' ORDER BY position) AS text FROM i GROUP BY session_id, run")
+@query("of3_stitched_rows", f"WITH {ROWS_SQL}, m AS (SELECT *, CASE WHEN lag(role) OVER w = role AND start_ms - lag(end_ms) OVER w <= 2000 THEN 0 ELSE 1 END AS fresh FROM (SELECT * REPLACE (CASE (position // 2) % 2 WHEN 0 THEN 'PATIENT' ELSE 'DOCTOR' END AS role) FROM rows) WINDOW w AS (PARTITION BY session_id ORDER BY position)), i AS (SELECT *, sum(fresh) OVER (PARTITION BY session_id ORDER BY position ROWS UNBOUNDED PRECEDING) AS run FROM m) SELECT session_id, min(position) AS first_position, min(role) AS role, CAST(min(start_ms) AS BIGINT) AS start_ms, CAST(max(end_ms) AS BIGINT) AS end_ms, count(*) AS n_rows, string_agg(text, ' ' ORDER BY position) AS text FROM i GROUP BY session_id, run")
 def stitched(spark, sf):
-    return intervals.stitch_rows(transcript(spark, sf).where("position % 3 <> 2"))
+    return intervals.stitch_rows(transcript(spark, sf).withColumn("role", F.when(F.expr("position div 2") % 2 == 0, "PATIENT").otherwise("DOCTOR")))
 
 
 @query("of6_attribution_accuracy", f"WITH {ROWS_SQL}, {_BEST}, {_TALK}, j AS (SELECT *, EXISTS (SELECT 1 FROM talk t WHERE t.session_id = g.session_id AND g.start_ms < t.end_ms AND t.start_ms < g.end_ms) AS touches FROM judged g) SELECT session_id, count(expected_role) AS scored, count(*) FILTER (role = expected_role) AS correct, round(count(*) FILTER (role = expected_role) / nullif(count(expected_role), 0), 6) AS accuracy, count(expected_role) FILTER (NOT touches) AS clean_scored, round(count(*) FILTER (role = expected_role AND NOT touches) / nullif(count(expected_role) FILTER (NOT touches), 0), 6) AS clean_accuracy FROM j GROUP BY session_id")
@@ -133,9 +134,9 @@ def purity(spark, sf):
     return attribution.purity(intervals.expected_roles(transcript(spark, sf), reference(spark, sf)))
 
 
-@query("of9_best_dyadic_mapping", f"WITH {ROWS_SQL}, {_BEST}, c AS (SELECT session_id, speaker_id, count(*) FILTER (expected_role = 'DOCTOR') AS d, count(*) FILTER (expected_role = 'PATIENT') AS p FROM judged WHERE speaker_id <> 'spk_2' GROUP BY ALL), x AS (SELECT session_id, count(*) AS speakers, arg_min(d, speaker_id) AS d1, arg_min(p, speaker_id) AS p1, arg_max(d, speaker_id) AS d2, arg_max(p, speaker_id) AS p2, sum(d + p) AS n FROM c GROUP BY session_id) SELECT session_id, CAST(n AS BIGINT) AS scored, greatest(d1 + p2, p1 + d2) AS best_correct, CASE WHEN d1 + p2 >= p1 + d2 THEN 'DOCTOR' ELSE 'PATIENT' END AS first_speaker_role FROM x WHERE speakers = 2")
+@query("of9_best_dyadic_mapping", f"WITH {ROWS_SQL}, {_BEST}, c AS (SELECT session_id, 'spk_' || (position % 2) AS speaker_id, count(*) FILTER (expected_role = 'DOCTOR') AS d, count(*) FILTER (expected_role = 'PATIENT') AS p FROM judged GROUP BY ALL), x AS (SELECT session_id, count(*) AS speakers, arg_min(d, speaker_id) AS d1, arg_min(p, speaker_id) AS p1, arg_max(d, speaker_id) AS d2, arg_max(p, speaker_id) AS p2, sum(d + p) AS n FROM c GROUP BY session_id) SELECT session_id, CAST(n AS BIGINT) AS scored, greatest(d1 + p2, p1 + d2) AS best_correct, CASE WHEN d1 + p2 >= p1 + d2 THEN 'DOCTOR' ELSE 'PATIENT' END AS first_speaker_role FROM x WHERE speakers = 2")
 def dyadic(spark, sf):
-    return attribution.dyadic_mapping(intervals.expected_roles(transcript(spark, sf).where("speaker_id <> 'spk_2'"), reference(spark, sf)))
+    return attribution.dyadic_mapping(intervals.expected_roles(transcript(spark, sf).withColumn("speaker_id", F.concat(F.lit("spk_"), F.col("position") % 2)), reference(spark, sf)))
 
 
 @query("of10_phantom_speakers", f"WITH {ROWS_SQL} SELECT session_id, count(DISTINCT speaker_id) AS speakers, greatest(0, count(DISTINCT speaker_id) - 2) AS phantoms FROM rows GROUP BY session_id")

@@ -111,10 +111,10 @@ def word_chunks(spark, sf):
     return relabel.chunked_words(table(spark, sf, "documents"), "doc_id", T.display_words(F.col("text")))
 
 
-@query("oc18_word_shares", f"WITH {ROWS_SQL}, w AS (SELECT session_id, sum(len({_TOK.format('text')})) AS n FROM rows WHERE position % 2 = 1 GROUP BY 1), s AS (SELECT r.session_id, position AS span, end_ms - start_ms AS d, n FROM rows r JOIN w USING (session_id)), c AS (SELECT *, coalesce(greatest(1, CAST(round_even(n * d / nullif(sum(d) OVER (PARTITION BY session_id), 0), 0) AS BIGINT)), 1) AS share, max(span) OVER (PARTITION BY session_id) AS final FROM s), t AS (SELECT *, CASE WHEN span = final THEN n ELSE least(sum(share) OVER (PARTITION BY session_id ORDER BY span), n) END AS upto FROM c) SELECT session_id, span, CAST(coalesce(lag(upto) OVER (PARTITION BY session_id ORDER BY span), 0) AS BIGINT) AS from_word, CAST(upto AS BIGINT) AS to_word FROM t")
+@query("oc18_word_shares", f"WITH {ROWS_SQL}, w AS (SELECT session_id, sum(len({_TOK.format('text')})) AS n FROM rows GROUP BY 1), s AS (SELECT r.session_id, position AS span, end_ms - start_ms AS d, n FROM rows r JOIN w USING (session_id)), c AS (SELECT *, coalesce(greatest(1, CAST(round_even(n * d / nullif(sum(d) OVER (PARTITION BY session_id), 0), 0) AS BIGINT)), 1) AS share, max(span) OVER (PARTITION BY session_id) AS final FROM s), t AS (SELECT *, CASE WHEN span = final THEN n ELSE least(sum(share) OVER (PARTITION BY session_id ORDER BY span), n) END AS upto FROM c) SELECT session_id, span, CAST(coalesce(lag(upto) OVER (PARTITION BY session_id ORDER BY span), 0) AS BIGINT) AS from_word, CAST(upto AS BIGINT) AS to_word FROM t")
 def shares(spark, sf):
     rows = transcript(spark, sf)
-    words = rows.where("position % 2 = 1").groupBy("session_id").agg(F.sum(F.size(T.score_tokens(F.col("text")))).alias("n_words"))
+    words = rows.groupBy("session_id").agg(F.sum(F.size(T.score_tokens(F.col("text")))).alias("n_words"))
     return relabel.word_shares(rows.select("session_id", F.col("position").alias("span"), (F.col("end_ms") - F.col("start_ms")).alias("duration_ms")), words)
 
 
@@ -157,10 +157,10 @@ def variants(spark, sf):
     return sequences.variant_pairs(rows.join(after, ["session_id", "position"]), "a", "b").select("segment_id", "other_id", "lcs_ratio", "variant")
 
 
-@query("og11_allocation_accounting", f"WITH {ROWS_SQL}, n AS (SELECT session_id, CAST(max(position) + 3 AS BIGINT) AS n FROM rows GROUP BY 1), u AS (SELECT session_id, unnest(range(position, position + 2)) AS i FROM rows WHERE position % 4 <> 2), c AS (SELECT session_id, i, count(*) AS k FROM u GROUP BY ALL), b AS (SELECT session_id, count(*) FILTER (k > 1) AS dup, count(*) AS used FROM c GROUP BY 1) SELECT session_id, coalesce(dup, 0) AS duplicated, n - coalesce(used, 0) AS unallocated, coalesce(dup, 0) = 0 AND n = coalesce(used, 0) AS complete FROM n LEFT JOIN b USING (session_id)")
+@query("og11_allocation_accounting", f"WITH {ROWS_SQL}, n AS (SELECT session_id, CAST(max(position) + 3 AS BIGINT) AS n FROM rows GROUP BY 1), u AS (SELECT session_id, unnest(range(position, position + 1 + position % 2)) AS i FROM rows), c AS (SELECT session_id, i, count(*) AS k FROM u GROUP BY ALL), b AS (SELECT session_id, count(*) FILTER (k > 1) AS dup, count(*) AS used FROM c GROUP BY 1) SELECT session_id, coalesce(dup, 0) AS duplicated, n - coalesce(used, 0) AS unallocated, coalesce(dup, 0) = 0 AND n = coalesce(used, 0) AS complete FROM n LEFT JOIN b USING (session_id)")
 def allocation(spark, sf):
     rows = transcript(spark, sf)
-    runs = rows.where("position % 4 <> 2").select("session_id", F.col("position").alias("a"), (F.col("position") + 2).alias("b"))
+    runs = rows.select("session_id", F.col("position").alias("a"), (F.col("position") + 1 + F.col("position") % 2).alias("b"))
     return sequences.allocation_check(runs, rows.groupBy("session_id").agg((F.max("position") + 3).alias("n")))
 
 
@@ -214,15 +214,17 @@ def recall(spark, sf):
     return a.join(b, "session_id", "left").select("session_id", T.rate(F.size(F.array_intersect("r", F.coalesce("h", none))), F.size("r")).alias("recall"), T.rate(F.coalesce("m", F.lit(0)), F.col("n")).alias("length_ratio"))
 
 
-@query("oh7_surplus_turns", f"WITH {ROWS_SQL}, s AS (SELECT session_id, trim(regexp_replace(lower(left(text, 12)), '[^a-z0-9]+', ' ', 'g')) AS norm, count(*) AS n FROM rows GROUP BY ALL), r AS (SELECT session_id, trim(regexp_replace(lower(left(ref_text, 12)), '[^a-z0-9]+', ' ', 'g')) AS norm, count(*) AS m FROM refs WHERE ordinal % 2 = 0 GROUP BY ALL) SELECT session_id, norm, n - greatest(coalesce(m, 0), 1) AS surplus FROM s LEFT JOIN r USING (session_id, norm) WHERE norm <> '' AND n > greatest(coalesce(m, 0), 1)")
+@query("oh7_surplus_turns", f"WITH {ROWS_SQL}, s AS (SELECT session_id, role, array_to_string({_TOK.format('text')}, ' ') AS norm, count(*) AS n FROM (SELECT * FROM rows UNION ALL SELECT * FROM rows WHERE position % 4 = 1) GROUP BY ALL), r AS (SELECT session_id, ref_role AS role, array_to_string({_TOK.format('ref_text')}, ' ') AS norm, count(*) AS m FROM refs GROUP BY ALL) SELECT session_id, norm, n - greatest(coalesce(m, 0), 1) AS surplus FROM s LEFT JOIN r USING (session_id, role, norm) WHERE n > greatest(coalesce(m, 0), 1)")
 def turns(spark, sf):
     wording = lambda c: F.array_join(T.score_tokens(F.col(c)), " ")
-    return sequences.surplus_turns(transcript(spark, sf), reference(spark, sf), wording("text"), wording("ref_text"))
+    rows = transcript(spark, sf)
+    shown = rows.unionByName(rows.where("position % 4 = 1"))  # turns that are shown twice
+    return sequences.surplus_turns(shown, reference(spark, sf), wording("text"), wording("ref_text"))
 
 
-@query("oh8_turn_coherence", f"WITH {ROWS_SQL}, n AS (SELECT *, trim(regexp_replace(lower(text), '[^a-z0-9]+', ' ', 'g')) AS norm, FROM (SELECT * FROM rows WHERE position % 3 <> 1)) SELECT session_id, segment_id, concat_ws(',', CASE WHEN lag(speaker_id) OVER w = speaker_id AND lag(role) OVER w <> role THEN 'identity' END, CASE WHEN lag(start_ms) OVER w > start_ms THEN 'chronology' END, CASE WHEN lag(norm) OVER w = norm AND norm <> '' THEN 'wording' END, CASE WHEN lag(role) OVER w = role THEN 'role' END) AS defects FROM n WINDOW w AS (PARTITION BY session_id ORDER BY position)")
+@query("oh8_turn_coherence", f"WITH {ROWS_SQL}, n AS (SELECT *, trim(regexp_replace(lower(text), '[^a-z0-9]+', ' ', 'g')) AS norm, FROM rows) SELECT session_id, segment_id, concat_ws(',', CASE WHEN lag(speaker_id) OVER w = speaker_id AND lag(role) OVER w <> role THEN 'identity' END, CASE WHEN lag(start_ms) OVER w > start_ms THEN 'chronology' END, CASE WHEN lag(norm) OVER w = norm AND norm <> '' THEN 'wording' END, CASE WHEN lag(role) OVER w = role THEN 'role' END) AS defects FROM n WINDOW w AS (PARTITION BY session_id ORDER BY position)")
 def coherent(spark, sf):
-    return sequences.coherence(transcript(spark, sf).where("position % 3 <> 1"), T.norm_duplicate(F.col("text")))
+    return sequences.coherence(transcript(spark, sf), T.norm_duplicate(F.col("text")))
 
 
 @query("oh15_word_stream_fingerprint", f"WITH {ROWS_SQL} SELECT session_id, sha256(string_agg(array_to_string({_TOK.format('text')}, ' '), ' ' ORDER BY position)) AS fingerprint FROM rows GROUP BY 1")
@@ -240,11 +242,11 @@ def pair_id(spark, sf):
     return pair.withColumn("pair_id", F.left(F.sha2(F.to_json(F.array("first_id", "second_id")), 256), F.lit(16)))
 
 
-@query("op40_slugs", "SELECT page_id, trim(regexp_replace(lower(url), '[^a-z0-9]+', '-', 'g'), '-') AS slug FROM pages")
+@query("ox_op40_slugs", "SELECT page_id, trim(regexp_replace(lower(url), '[^a-z0-9]+', '-', 'g'), '-') AS slug FROM pages")
 def slugs(spark, sf):
     return table(spark, sf, "pages").select("page_id", T.slug(F.col("url")).alias("slug"))
 
 
-@query("op31_op32_session_extent", f"WITH {ROWS_SQL} SELECT session_id, coalesce(max(end_ms), 0) AS duration_ms, count(DISTINCT nullif(speaker_id, '')) >= 2 AS two_speakers FROM rows GROUP BY 1")
+@query("ox_op31_op32_session_extent", f"WITH {ROWS_SQL} SELECT session_id, coalesce(max(end_ms), 0) AS duration_ms, count(DISTINCT nullif(speaker_id, '')) >= 2 AS two_speakers FROM rows GROUP BY 1")
 def extent(spark, sf):
     return transcript(spark, sf).groupBy("session_id").agg(F.coalesce(F.max("end_ms"), F.lit(0)).alias("duration_ms"), (F.count_distinct(F.nullif(F.col("speaker_id"), F.lit(""))) >= 2).alias("two_speakers"))

@@ -9,6 +9,9 @@ from tests import oracle
 
 SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 
+#: Queries that have no rows on the smallest tables.
+MAY_BE_EMPTY: set[str] = set()
+
 
 @pytest.fixture(scope="module")
 def con():
@@ -19,6 +22,6 @@ def con():
 def test_query_matches_sql(spark, con, name):
     df = catalogue.QUERIES[name](spark, SF)
     if name in catalogue.SQL:
-        assert oracle.compare(df, con, catalogue.SQL[name]) in ("", "no rows")
+        assert oracle.compare(df, con, catalogue.SQL[name]) in (("", "no rows") if name in MAY_BE_EMPTY else ("",))
     else:
-        assert df.columns and df.count() >= 0
+        assert df.columns and df.count() > 0
