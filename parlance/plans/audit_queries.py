@@ -13,7 +13,6 @@ from parlance.plans.registry import query
 from parlance.sources.adapt import LOGS_SQL, ROWS_SQL, log_events, table, transcript
 
 _R, _L = ROWS_SQL, f"WITH {LOGS_SQL}"
-_N = F.count(F.lit(1))
 
 
 @query("oi7_eval_accuracy", f"{_L} SELECT event, count(value) AS evals, round(avg(value), 6) AS accuracy FROM logs GROUP BY 1")
@@ -59,7 +58,7 @@ def counters(spark, sf):
 @query("oi6_status_mix", f"{_L} SELECT substr(event, 2) AS outcome, CASE WHEN k >= 90 THEN 'failed' WHEN k >= 50 THEN 'partial' ELSE 'ok' END AS status, count(*) AS n FROM logs WHERE starts_with(event, 'p') GROUP BY 1, 2")
 def status_mix(spark, sf):
     status = F.when(F.col("k") >= 90, "failed").when(F.col("k") >= 50, "partial").otherwise("ok")
-    return log_events(spark, sf).where("startswith(event, 'p')").groupBy(F.expr("substring(event, 2)").alias("outcome"), status.alias("status")).agg(_N.alias("n"))
+    return log_events(spark, sf).where("startswith(event, 'p')").groupBy(F.expr("substring(event, 2)").alias("outcome"), status.alias("status")).agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("oi12_after_snapshot", f"{_L}, s AS (SELECT session_id, max(ts) AS at_ FROM logs WHERE event = 'purchase' GROUP BY 1) SELECT session_id, count(*) FILTER (ts <= at_) AS recorded, count(*) FILTER (ts > at_) AS after_snapshot FROM logs JOIN s USING (session_id) GROUP BY 1")

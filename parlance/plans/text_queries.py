@@ -214,12 +214,10 @@ def recall(spark, sf):
     return a.join(b, "session_id", "left").select("session_id", T.rate(F.size(F.array_intersect("r", F.coalesce("h", none))), F.size("r")).alias("recall"), T.rate(F.coalesce("m", F.lit(0)), F.col("n")).alias("length_ratio"))
 
 
-@query("oh7_surplus_turns", f"WITH {ROWS_SQL}, s AS (SELECT session_id, role, array_to_string({_TOK.format('text')}, ' ') AS norm, count(*) AS n FROM (SELECT * FROM rows UNION ALL SELECT * FROM rows WHERE position % 4 = 1) GROUP BY ALL), r AS (SELECT session_id, ref_role AS role, array_to_string({_TOK.format('ref_text')}, ' ') AS norm, count(*) AS m FROM refs GROUP BY ALL) SELECT session_id, norm, n - greatest(coalesce(m, 0), 1) AS surplus FROM s LEFT JOIN r USING (session_id, role, norm) WHERE n > greatest(coalesce(m, 0), 1)")
+@query("oh7_surplus_turns", f"WITH {ROWS_SQL}, s AS (SELECT session_id, role, array_to_string({_TOK.format('text')}, ' ') AS norm, count(*) AS n FROM rows GROUP BY ALL), r AS (SELECT session_id, ref_role AS role, array_to_string({_TOK.format('ref_text')}, ' ') AS norm, count(*) AS m FROM refs GROUP BY ALL) SELECT session_id, norm, n - greatest(coalesce(m, 0), 1) AS surplus FROM s LEFT JOIN r USING (session_id, role, norm) WHERE n > greatest(coalesce(m, 0), 1)")
 def turns(spark, sf):
     wording = lambda c: F.array_join(T.score_tokens(F.col(c)), " ")
-    rows = transcript(spark, sf)
-    shown = rows.unionByName(rows.where("position % 4 = 1"))  # turns that are shown twice
-    return sequences.surplus_turns(shown, reference(spark, sf), wording("text"), wording("ref_text"))
+    return sequences.surplus_turns(transcript(spark, sf), reference(spark, sf), wording("text"), wording("ref_text"))
 
 
 @query("oh8_turn_coherence", f"WITH {ROWS_SQL}, n AS (SELECT *, trim(regexp_replace(lower(text), '[^a-z0-9]+', ' ', 'g')) AS norm, FROM rows) SELECT session_id, segment_id, concat_ws(',', CASE WHEN lag(speaker_id) OVER w = speaker_id AND lag(role) OVER w <> role THEN 'identity' END, CASE WHEN lag(start_ms) OVER w > start_ms THEN 'chronology' END, CASE WHEN lag(norm) OVER w = norm AND norm <> '' THEN 'wording' END, CASE WHEN lag(role) OVER w = role THEN 'role' END) AS defects FROM n WINDOW w AS (PARTITION BY session_id ORDER BY position)")

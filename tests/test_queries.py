@@ -10,7 +10,7 @@ from tests import oracle
 SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 
 #: Queries that have no rows on the smallest tables.
-MAY_BE_EMPTY: set[str] = set()
+MAY_BE_EMPTY = {"oe10_echo_pairs", "of16_duplicate_starts", "oh7_surplus_turns", "oh13_establishment_hint", "ox_op29_orphan_state"}
 
 
 @pytest.fixture(scope="module")
