@@ -9,13 +9,18 @@ twice that width that overlap by half, so one band holds them all: bands with
 too few shared q-grams are dropped, and the rest are aligned by a dynamic
 programme over the band alone.
 
-The benchmark's q-gram index is broadcast in blocks of a fixed size, one pass
-over the texts for each; the texts are not shuffled.
+The benchmark's q-gram index is broadcast in blocks of a fixed size, a few
+blocks in each pass over the texts; the texts are not shuffled. A benchmark of
+one pass marks the texts as they go by. Of a larger one each pass writes only
+the hits, which are few, and ends there, so no task holds more than one pass's
+blocks; the hits of all passes join the texts once, by a hash of the text.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
+from itertools import batched, chain
 
 import numpy as np
 import pyarrow as pa
@@ -24,11 +29,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from llm import arrays as A
+from llm.storage import join_checked, stored
 
 Q = 8
 #: Bytes of item text in one broadcast index, which takes about 40 times as much.
 BLOCK_BYTES = 1 << 20
-HIT = "item_id long, start int, end int, edits int"
+#: Blocks searched in one pass over the texts.
+PASS_BLOCKS = 4
+HITS = "array<struct<item_id:long,start:int,end:int,edits:int>>"
 _solid = np.zeros(256, bool)
 _solid[48:58] = _solid[97:123] = _solid[128:] = True
 
@@ -185,17 +193,28 @@ def _hits(index: Index, texts: pa.Array) -> list[list[dict]]:
     return out
 
 
-def _searched(shared, text: str):
-    kind = pa.list_(pa.struct([("item_id", pa.int64()), ("start", pa.int32()), ("end", pa.int32()), ("edits", pa.int32())]))
+_KIND = pa.list_(pa.struct([("item_id", pa.int64()), ("start", pa.int32()), ("end", pa.int32()), ("edits", pa.int32())]))
 
+
+def _all_hits(indexes: list[Index], texts: pa.Array) -> list[list[dict]]:
+    return [sorted(chain(*of_row), key=lambda x: x["item_id"]) for of_row in zip(*(_hits(index, texts) for index in indexes))]
+
+
+def _marked(shared, text: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for chunk in A.chunks(batches, text, 1 << 20):
-            found = _hits(shared.value, chunk.column(text))
-            if "benchmark_hits" in chunk.schema.names:
-                at = chunk.schema.get_field_index("benchmark_hits")
-                found = [sorted((a or []) + b, key=lambda x: x["item_id"]) for a, b in zip(chunk.column(at).to_pylist(), found)]
-                chunk = chunk.drop_columns(["benchmark_hits"])
-            yield pa.RecordBatch.from_arrays([*chunk.columns, pa.array(found, kind)], [*chunk.schema.names, "benchmark_hits"])
+            found = _all_hits(shared.value, chunk.column(text))
+            yield pa.RecordBatch.from_arrays([*chunk.columns, pa.array(found, _KIND)], [*chunk.schema.names, "benchmark_hits"])
+
+    return run
+
+
+def _listed(shared):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for chunk in A.chunks(batches, "text", 1 << 20):
+            found = pa.array(_all_hits(shared.value, chunk.column("text")), _KIND)
+            some = pc.greater(pc.list_value_length(found), 0)
+            yield pa.RecordBatch.from_arrays([chunk.column("text_key").filter(some), found.filter(some)], ["text_key", "benchmark_hits"])
 
     return run
 
@@ -225,12 +244,22 @@ def contamination(docs: DataFrame, benchmark: DataFrame, *, rate: float = 0.1, t
     column with the result's name is replaced.
     """
     docs = docs.drop("benchmark_hits").withColumn(text, F.col(text).cast("string"))
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    kind = f"{fields}, benchmark_hits array<struct<item_id:long,start:int,end:int,edits:int>>"
-    found = None
-    for block in _blocks(benchmark, item_id, item_text):
-        shared = docs.sparkSession.sparkContext.broadcast(Index(block, rate))
-        found = (docs if found is None else found).mapInArrow(_searched(shared, text), kind)
-    if found is None:
-        return docs.withColumn("benchmark_hits", F.expr("cast(array() as array<struct<item_id:long,start:int,end:int,edits:int>>)"))
-    return found
+    share, none = docs.sparkSession.sparkContext.broadcast, F.expr(f"cast(array() as {HITS})")
+    passes = batched(_blocks(benchmark, item_id, item_text), PASS_BLOCKS)
+    first, second = next(passes, None), next(passes, None)
+    if first is None:
+        return docs.withColumn("benchmark_hits", none)
+    if second is None:
+        fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
+        return docs.mapInArrow(_marked(share([Index(b, rate) for b in first]), text), f"{fields}, benchmark_hits {HITS}")
+    key = F.sha2(F.col(text), 256)
+    texts = docs.where(F.col(text).isNotNull()).select(key.alias("text_key"), F.col(text).alias("text"))
+    found = []
+    for blocks in chain([first, second], passes):
+        shared = share([Index(b, rate) for b in blocks])
+        found.append(stored(texts.mapInArrow(_listed(shared), f"text_key string, benchmark_hits {HITS}"), "benchmark-hits"))
+        shared.destroy()
+    hit = reduce(DataFrame.unionAll, found).select("text_key", F.explode("benchmark_hits").alias("hit"))
+    hits = stored(hit.groupBy("text_key").agg(F.array_sort(F.collect_set("hit")).alias("benchmark_hits")), "benchmark-hits")
+    joined = join_checked(docs.withColumn("text_key", key), hits, ["text_key"], "left").drop("text_key")
+    return joined.withColumn("benchmark_hits", F.coalesce("benchmark_hits", none))

@@ -6,7 +6,7 @@ import zlib
 import numpy as np
 import pyarrow as pa
 import pytest
-from llm import decontaminate, licenses, pii, sharding
+from llm import ann, decontaminate, licenses, pii, sharding
 from llm.registry import QUERIES, SQL
 
 from tests import oracle
@@ -36,10 +36,12 @@ def test_sharding_keeps_old_versions_and_rows(spark, tmp_path):
         sharding.commit(spark, root, sharding.manifest(spark, root), after=2)
 
 
-def test_neighbours_recall(spark):
+@pytest.mark.parametrize("blocks", [1, 3])
+def test_neighbours_recall(spark, monkeypatch, blocks):
     rows = tables.read(tables.SF, "embeddings")
     ok = [r for r in rows if r["embedding"] and all(x is not None and np.isfinite(x) for x in r["embedding"]) and any(r["embedding"])]
     ids, vectors = np.array([r["vec_id"] for r in ok]), np.array([r["embedding"] for r in ok], float)
+    monkeypatch.setattr(ann, "BLOCK", -(-len(ok) // blocks))
     got = {}
     for r in QUERIES["op2_permutation_ann"](spark, tables.SF).collect():
         got.setdefault(r.query_id, []).append((r["rank"], r.vec_id, r.score))
@@ -144,6 +146,23 @@ def test_decontamination_equals_full_alignment(spark):
     assert all(want[1000 + i] for i in range(len(items)))
 
 
+def test_decontamination_in_passes_equals_one_pass(spark, monkeypatch):
+    items = [(r["item_id"], r["text"]) for r in tables.read(tables.SF, "benchmark")][:12]
+    docs = [(r["doc_id"], r["text"], "b") for r in tables.read(tables.SF)] + [(9001, None, None), (9002, "", None), (9003, items[0][1] + " and " + items[11][1], None), (9003, items[0][1] + " and " + items[11][1], None)]
+    frame, bench = spark.createDataFrame(docs, "doc_id long, text string, benchmark_hits string"), spark.createDataFrame(items, "item_id long, text string")
+
+    def found():
+        out = decontaminate.contamination(frame, bench)
+        assert out.columns == ["doc_id", "text", "benchmark_hits"]
+        return sorted(((r.doc_id, r.text or "", [tuple(h) for h in r.benchmark_hits]) for r in out.collect()))
+
+    whole = found()
+    monkeypatch.setattr(decontaminate, "BLOCK_BYTES", 600)
+    monkeypatch.setattr(decontaminate, "PASS_BLOCKS", 2)
+    assert found() == whole and len(whole) == len(docs)
+    assert [[h[0] for h in hits] for d, _, hits in whole if d == 9003] == [[items[0][0], items[11][0]]] * 2
+
+
 def test_pipeline_stages_take_effect(spark):
     import corpus_pipeline
 
