@@ -1,15 +1,21 @@
 """Approximate nearest neighbours by a permutation index.
 
 256 pivots are drawn from a bounded sample of the vectors. A vector is
-represented by its 128 nearest pivots, nearest first, and posted in the inverted
+represented by its 64 nearest pivots, nearest first, and posted in the inverted
 file of each of them with its place there. Two vectors that agree in their
 nearest pivots are close: the footrule distance of the two lists, with places
 beyond the list counted as its end, is
 
     K (K + 1) - 2 * sum over shared pivots of (K - max(place, place))
 
-so a query adds up its pivots' posting lists. The 6 % of a block with the least
-footrule (ties to the smaller id) are reranked by the true distance.
+so a query adds up its pivots' posting lists. The 640 vectors of a block with the
+least footrule (ties to the smaller id) are reranked by the true distance.
+
+A pivot is in a quarter of all lists, so a query adds up 16 entries for each
+vector of a block. Lists of 128 take four times that; lists of 32 lose the
+nearest of weakly clustered vectors (README has the recalls). With lists of 64
+nearly every vector shares a pivot with a query, so there are no blocks to leave
+out by pivots.
 
 Every vector is indexed, in blocks of about 8192 by a hash of the id; queries go
 to every block in blocks of their own, and a block answers with its ten nearest.
@@ -26,7 +32,7 @@ from pyspark.sql import functions as F
 
 from llm.storage import stored
 
-PIVOTS, LIST, SHARE, BLOCK, QUERIES = 256, 128, 0.06, 8192, 1024
+PIVOTS, LIST, RERANK, BLOCK, QUERIES = 256, 64, 640, 8192, 1024
 SAMPLE = 1024
 
 
@@ -45,7 +51,7 @@ def places(vectors: np.ndarray, pivots: np.ndarray, k: int) -> np.ndarray:
     return out
 
 
-def _search(shared, top: int, share: float):
+def _search(shared, top: int, rerank: int):
     def run(queries: pa.Table, rows: pa.Table) -> pa.Table:
         empty = pa.table({"query_id": pa.array([], pa.int64()), "vec_id": pa.array([], pa.int64()), "score": pa.array([], pa.float64())})
         if not queries.num_rows or not rows.num_rows:
@@ -63,7 +69,7 @@ def _search(shared, top: int, share: float):
         posted = [np.flatnonzero(at[:, p] < k) for p in range(len(pivots))]
         lists = [at[rows_, p].astype(np.int32) for p, rows_ in enumerate(posted)]
         asked, wanted = queries.column("vec_id").to_numpy(), _matrix(queries.column("v"))
-        n = min(len(ids), max(8 * top, int(np.ceil(share * len(ids)))))
+        n = min(len(ids), max(8 * top, rerank))
         found: tuple[list, list, list] = ([], [], [])
         for q, v, mine in zip(asked, wanted, places(wanted, pivots, k)):
             shared_part = np.zeros(len(ids), np.int32)
@@ -91,7 +97,7 @@ def usable(vectors: DataFrame, id: str, vector: str) -> DataFrame:
     return rows.where(F.size("v") == (most.n if most else 0))
 
 
-def neighbours(vectors: DataFrame, *, is_query: Column, top: int = 10, share: float = SHARE, id: str = "vec_id", vector: str = "embedding") -> DataFrame:
+def neighbours(vectors: DataFrame, *, is_query: Column, top: int = 10, rerank: int = RERANK, id: str = "vec_id", vector: str = "embedding") -> DataFrame:
     """The `top` nearest found of each query: query_id, rank (from 1), vec_id, score (Euclidean distance).
 
     `is_query` picks queries by the column vec_id. Candidates are all rows but
@@ -110,6 +116,6 @@ def neighbours(vectors: DataFrame, *, is_query: Column, top: int = 10, share: fl
     deal = lambda n, salt: F.pmod(F.xxhash64("vec_id", F.lit(salt)), F.lit(n)).cast("int")
     left = queries.withColumn("part", deal(groups, 1)).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
     right = rows.withColumn("block", deal(blocks, 2)).withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))))
-    found = left.groupBy("block", "part").cogroup(right.groupBy("block", "part")).applyInArrow(_search(pivots, top, share), "query_id long, vec_id long, score double")
+    found = left.groupBy("block", "part").cogroup(right.groupBy("block", "part")).applyInArrow(_search(pivots, top, rerank), "query_id long, vec_id long, score double")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy("score", "vec_id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= top).select("query_id", "rank", "vec_id", "score")
