@@ -84,15 +84,26 @@ def same_speaker_context(rows: DataFrame) -> DataFrame:
     return rows.select(*_row, near(F.lag).alias("previous_text"), near(F.lead).alias("next_text"))
 
 
-def words_by_region(points: DataFrame, spans: DataFrame) -> DataFrame:
-    """Words inside and outside spans (start inclusive, end exclusive) by session."""
+def in_region(points: DataFrame, spans: DataFrame) -> DataFrame:
+    """`points` with hit: whether a span (start inclusive, end exclusive) holds the word."""
     key = [*_row, "word_index"]
     inside = intervals.near_join(points.select(*key, "at_ms"), spans.select("session_id", "start_ms", "end_ms"), ["session_id"], "at_ms", "start_ms", "end_ms", 0).where("at_ms < end_ms").select(*key).distinct()
-    marked = points.select(*key).join(inside.withColumn("hit", F.lit(True)), key, "left")
-    hit = F.col("hit").isNotNull()
+    return points.join(inside.withColumn("hit", F.lit(True)), key, "left").withColumn("hit", F.col("hit").isNotNull())
+
+
+def words_by_region(points: DataFrame, spans: DataFrame) -> DataFrame:
+    """Words inside and outside spans (start inclusive, end exclusive) by session."""
+    marked, hit = in_region(points.select(*_row, "word_index", "at_ms"), spans), F.col("hit")
     return marked.groupBy("session_id").agg(F.count_if(~hit).alias("clean_words"), F.count_if(hit).alias("overlap_words"))
 
 
+def regional_words(points: DataFrame, spans: DataFrame, name: str) -> DataFrame:
+    """(session_id, region, words in order of time): a session's words in clean and in overlapped speech."""
+    region = F.when(F.col("hit"), "overlap").otherwise("clean")
+    ordered = F.array_sort(F.collect_list(F.struct("at_ms", "segment_id", "word_index", "word")))
+    return in_region(points, spans).groupBy("session_id", region.alias("region")).agg(F.transform(ordered, lambda x: x["word"]).alias(name))
+
+
 def boundary_buckets(points: DataFrame, refs: DataFrame, tolerances: tuple[int, ...] = (150, 250, 400)) -> DataFrame:
     """Words near and away from interval edges at each tolerance: words, scored, correct."""
     key, far = [*_row, "word_index"], max(tolerances)

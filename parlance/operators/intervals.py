@@ -122,8 +122,7 @@ def echo_pairs(rows: DataFrame, norm: Column) -> DataFrame:
     """Pairs of rows with equal text, other speakers and overlapping times: session_id, first_id, second_id, overlap_ms."""
     rows = rows.select("session_id", "segment_id", "position", "speaker_id", "start_ms", "end_ms", norm.alias("norm")).where("norm <> ''")
     later = rows.select("session_id", "norm", F.col("segment_id").alias("id2"), F.col("position").alias("p2"), F.col("speaker_id").alias("s2"), F.col("start_ms").alias("b2"), F.col("end_ms").alias("e2"))
-    pair = rows.join(later, ["session_id", "norm"]).where("position < p2 AND speaker_id <> s2")
-    pair = pair.withColumn("overlap_ms", overlap(F.col("start_ms"), F.col("end_ms"), F.col("b2"), F.col("e2"))).where("overlap_ms > 0")
+    pair = overlap_join(rows, later, ["session_id", "norm"], "start_ms", "end_ms", "b2", "e2").where("position < p2 AND speaker_id <> s2")
     return pair.select("session_id", F.col("segment_id").alias("first_id"), F.col("id2").alias("second_id"), "overlap_ms")
 
 
