@@ -88,3 +88,29 @@ def _bytes_of(value: Column, kind: DataType) -> Column:
     if isinstance(kind, (StringType, BinaryType)):
         return F.coalesce(F.octet_length(value), F.lit(0)) + 16
     return F.lit(8)
+
+
+def lookup(rows: DataFrame, table: DataFrame, on: list[str], uses: str) -> DataFrame:
+    """Left join of `rows` with a stored table of unique keys, without a task for all rows of a common key.
+
+    `uses` is a column of `table`: how many of `rows` have the key. Keys that more
+    than a hundred-thousandth of the rows have (1,000 rows at least) are at most
+    100,000, and join by a broadcast of checked size; the others shuffle. Null keys
+    find nothing, as in any join, and stay out of the shuffle.
+    """
+    rows = rows.select("*")
+    total = table.agg(F.sum(uses)).first()[0] or 0
+    limit = max(1_000, total // 100_000)
+    more = [f for f in table.schema if f.name not in (*on, uses)]
+    none = [F.lit(None).cast(f.dataType).alias(f.name) for f in more]
+    known = F.lit(True)
+    for c in on:
+        known = known & F.col(c).isNotNull()
+    out = rows.where(~known).select(*rows.columns, *none)
+    rows = rows.where(known)
+    hot = stored(table.where(F.col(uses) > limit).drop(uses), "hot-keys")
+    if not hot.isEmpty():
+        out = out.unionByName(join_checked(rows, hot, on).select(*rows.columns, *(f.name for f in more)))
+        rows = join_checked(rows, hot.select(*on), on, "left_anti")
+    cold = table.where(F.col(uses) <= limit).drop(uses)
+    return out.unionByName(rows.join(cold, on, "left").select(*rows.columns, *(f.name for f in more)))
