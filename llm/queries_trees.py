@@ -9,8 +9,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from llm import tries
-from llm.storage import small_batches, stored
+from llm import merkle, tries
+from llm.storage import small_batches
 
 NOTHING = hashlib.sha256(b"").hexdigest()
 
@@ -81,5 +81,54 @@ SELECT node.conv AS conv_id, CAST(node.d AS BIGINT) AS depth, parent.conv AS par
 FROM node JOIN sub ON sub.key = node.key LEFT JOIN kids ON kids.key = node.key LEFT JOIN ends ON ends.key = node.key
 LEFT JOIN link ON link.key = node.key LEFT JOIN node parent ON parent.key = link.up"""
 
-QUERIES = {"op12_conversation_prefix_trie": op12_conversation_prefix_trie}
-SQL = {"op12_conversation_prefix_trie": TRIE_SQL}
+UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+
+
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's proof in the manifest of all documents, and the root folded from its (for a fifth: tampered) leaf."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    fields = [F.col("doc_id").cast("long"), F.col("source"), F.col("lang"), F.col("n_chars").cast("long")]
+    tampered = F.when(F.crc32(F.col("doc_id").cast("long").cast("string").cast("binary")) % 5 == 0, merkle.framed(*fields, F.translate("text", UPPER, LOWER)))
+    runs = merkle.manifest(docs, group="source", order="doc_id", leaf=merkle.framed(*fields, F.col("text")), altered=tampered)
+    found = merkle.checked(runs)
+    return found.select(F.col("ord").alias("doc_id"), "leaf", "subroot", "root", "proof_sha256", "folded_root", (F.col("folded_root") == F.col("root")).alias("verified"))
+
+
+def _framed_sql(text: str) -> str:
+    values = ("CAST(doc_id AS VARCHAR)", "source", "lang", "CAST(n_chars AS VARCHAR)", text)
+    return "sha256(" + " || ".join(f"coalesce(CAST(strlen({v}) AS VARCHAR) || ':' || {v}, '-')" for v in values) + ")"
+
+
+def _levels_sql(name: str, leaves: str) -> str:
+    """All nodes (grp, level, idx, h) over `leaves` (grp, idx, h)."""
+    return f"""{name} AS (SELECT grp, 0 AS level, idx, h FROM {leaves} UNION ALL
+  SELECT grp, level + 1, idx // 16, sha256(string_agg(h, '' ORDER BY idx)) FROM (SELECT *, count(*) OVER (PARTITION BY grp) AS n FROM {name}) WHERE n > 1 GROUP BY grp, level, idx // 16)"""
+
+
+#: A leaf's path: itself in its group's tree, then its group's root in the upper tree (levels from 1000 on).
+MERKLE_SQL = f"""WITH RECURSIVE {CRC_TABLE},
+docs AS (SELECT doc_id, coalesce('=' || source, '') AS grp, {_framed_sql("text")} AS leaf,
+  CASE WHEN {crc32_sql("CAST(doc_id AS VARCHAR)")} % 5 = 0 THEN {_framed_sql(f"translate(text, '{UPPER}', '{LOWER}')")} END AS altered FROM documents, crc_table),
+leaves AS (SELECT *, leaf AS h, row_number() OVER (PARTITION BY grp ORDER BY doc_id NULLS FIRST, leaf) - 1 AS idx FROM docs),
+{_levels_sql("low", "leaves")},
+subroots AS (SELECT grp AS of, h FROM low QUALIFY level = max(level) OVER (PARTITION BY grp)),
+tops AS (SELECT '' AS grp, of, h, row_number() OVER (ORDER BY of) - 1 AS idx FROM subroots),
+{_levels_sql("high", "tops")},
+node AS (SELECT grp, level, idx, h, count(*) OVER (PARTITION BY grp, level) AS n FROM low
+  UNION ALL SELECT 'top', level + 1000, idx, h, count(*) OVER (PARTITION BY level) FROM high),
+step AS (SELECT grp, level, idx // 16 AS run, list(h ORDER BY idx) AS hs FROM node WHERE n > 1 GROUP BY grp, level, idx // 16),
+walk AS (SELECT leaves.grp, leaves.idx AS leaf_idx, 0 AS level, leaves.grp AS tree, leaves.idx AS idx, coalesce(altered, leaf) AS h, '' AS proof, tops.idx AS top_idx
+    FROM leaves JOIN tops ON tops.of = leaves.grp
+  UNION ALL
+  SELECT w.grp, w.leaf_idx, CASE WHEN s.grp IS NULL THEN 1000 ELSE w.level + 1 END, CASE WHEN s.grp IS NULL THEN 'top' ELSE w.tree END,
+    CASE WHEN s.grp IS NULL THEN w.top_idx ELSE w.idx // 16 END,
+    CASE WHEN s.grp IS NULL THEN w.h ELSE sha256(array_to_string(s.hs[: w.idx % 16], '') || w.h || array_to_string(s.hs[w.idx % 16 + 2 :], '')) END,
+    CASE WHEN s.grp IS NULL THEN w.proof ELSE w.proof || array_to_string(s.hs[: w.idx % 16], '') || array_to_string(s.hs[w.idx % 16 + 2 :], '') END, w.top_idx
+    FROM walk w LEFT JOIN step s ON s.grp = w.tree AND s.level = w.level AND s.run = w.idx // 16 WHERE s.grp IS NOT NULL OR w.tree <> 'top'),
+root AS (SELECT h AS root FROM high QUALIFY level = max(level) OVER ()),
+done AS (SELECT * FROM walk QUALIFY row_number() OVER (PARTITION BY grp, leaf_idx ORDER BY tree = 'top' DESC, level DESC) = 1)
+SELECT l.doc_id, l.leaf, s.h AS subroot, root.root, sha256(d.proof) AS proof_sha256, d.h AS folded_root, d.h = root.root AS verified
+FROM leaves l JOIN subroots s ON s.of = l.grp JOIN done d ON d.grp = l.grp AND d.leaf_idx = l.idx, root"""
+
+QUERIES = {"op12_conversation_prefix_trie": op12_conversation_prefix_trie, "op13_merkle_manifest": op13_merkle_manifest}
+SQL = {"op12_conversation_prefix_trie": TRIE_SQL, "op13_merkle_manifest": MERKLE_SQL}
