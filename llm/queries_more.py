@@ -1,11 +1,11 @@
-"""Queries of sharding, neighbour search, license scans, PII, quality and decontamination."""
+"""Queries of sharding, neighbour search, license scans, PII, quality, language ID and decontamination."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from llm import ann, decontaminate, licenses, pii, quality, sharding
+from llm import ann, decontaminate, langid, licenses, pii, quality, sharding
 from llm.storage import new_path
 
 #: The key of the pseudonyms; `spark.corpus.pii.key` (hexadecimal) replaces it outside tests.
@@ -81,5 +81,9 @@ def op9_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     return found.select("doc_id", (F.size(hits) > 0).alias("contaminated"), F.transform(hits, lambda x: x["item_id"]).alias("item_ids"), F.array_min(F.transform(hits, lambda x: x["edits"])).alias("least_edits"))
 
 
-QUERIES = {f.__name__: f for f in (op1_size_tiered_sharding, op2_permutation_ann, op3_license_scan, op6_pii_feistel, op8_quality_ftrl, op9_benchmark_decontamination)}
+def op11_bigru_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify(_table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_size_tiered_sharding, op2_permutation_ann, op3_license_scan, op6_pii_feistel, op8_quality_ftrl, op9_benchmark_decontamination, op11_bigru_language_id)}
 SQL = {"op1_size_tiered_sharding": _sharding_sql()}
