@@ -42,6 +42,8 @@ KEYS = CHUNKS * len(_kept)
 #: A component of so many documents is compared as a whole; a task then holds so
 #: many outliers, and so many members pass it. These set costs, never results.
 LARGE, OUTLIERS, MEMBERS = 64, 64, 4096
+#: Sizes of sets within this factor are one band.
+BAND = 1.05
 _lower = np.arange(256, dtype=np.uint8)
 _lower[65:91] += 32
 
@@ -363,11 +365,49 @@ def _into_large(docs: DataFrame, members: DataFrame, large: DataFrame, n: int, n
     return texts.mapInArrow(_reach(n, num, den), "a long, b long").where("a <> b").distinct()
 
 
+def _banded(rows: DataFrame, prefix: str, num: int, den: int) -> DataFrame:
+    """Entries of a pair's smaller ("x") or larger ("y") set, one for each band of sizes that the other may have.
+
+    Sets of sizes n and m that reach the similarity share num / (num + den) of
+    n + m at least, so a shingle at place `at` can't be the first that both have
+    if fewer are left from there on. Where all rare shingles of a set are its
+    own, its common ones come too late, and it isn't listed under them.
+    """
+    log = float(np.log(BAND))
+    band = lambda n: F.floor(F.log(n) / log)
+    own = band(F.col("n"))
+    if prefix == "x":
+        bands = F.sequence(own, band(F.col("n") * den / num) + 1)
+    else:
+        bands = F.sequence(F.greatest(F.lit(0).cast("long"), band(F.greatest(F.lit(1), F.col("n") * num / den)) - 1), own)
+    least = F.floor(F.pow(F.lit(BAND), F.col("other"))) - 1
+    least = F.greatest(least, F.col("n")) if prefix == "x" else least
+    rows = rows.withColumn("own", own).withColumn("other", F.explode(bands))
+    rows = rows.where((num + den) * (1 + F.col("n") - F.col("at")) >= num * (F.col("n") + least))
+    low, high = ("own", "other") if prefix == "x" else ("other", "own")
+    return rows.select("s", F.col(low).alias("low"), F.col(high).alias("high"), *_side(prefix))
+
+
+def _in_bands(left: DataFrame, right: DataFrame, num: int, den: int) -> DataFrame:
+    """Pairs (a, b) of an entry of `left` and one of `right` that share a shingle early enough, in different components."""
+    close = _least_distance([F.col(f"x_{x}") for x in _LANE_NAMES], [F.col(f"y_{x}") for x in _LANE_NAMES]) <= DISTANCE
+    # if this is the first shingle that both have, they share it and what follows at most
+    able = (num + den) * (1 + F.least(F.col("x_n") - F.col("x_at"), F.col("y_n") - F.col("y_at"))) >= num * (F.col("x_n") + F.col("y_n"))
+    out = None
+    for small, large in ((left, right), (right, left)):
+        pairs = _banded(small, "x", num, den).join(_banded(large, "y", num, den).hint("merge"), ["s", "low", "high"])
+        pairs = pairs.where((F.col("x_n") <= F.col("y_n")) & (F.col("x_c") != F.col("y_c")) & able & close)
+        pairs = pairs.select(F.least("x_id", "y_id").alias("a"), F.greatest("x_id", "y_id").alias("b")).distinct()
+        out = pairs if out is None else out.union(pairs)
+    return out
+
+
 def _across(docs: DataFrame, prefixes: DataFrame, tested: DataFrame, labels: DataFrame, n: int, num: int, den: int) -> DataFrame:
     """Labels after all links between the components of `prefixes`.
 
     Large components take in what reaches one of their members; other documents
-    that share a shingle among their rarest are compared pair by pair.
+    that share a shingle among their rarest, early enough for their sizes, are
+    compared pair by pair.
     """
     members = stored(prefixes, "near-prefixes")
     sizes = members.select("c", "id").distinct().groupBy("c").agg(F.count(F.lit(1)).alias("size"))
@@ -375,15 +415,12 @@ def _across(docs: DataFrame, prefixes: DataFrame, tested: DataFrame, labels: Dat
     links = docs.sparkSession.createDataFrame([], "a long, b long")
     if not large.isEmpty():
         links = stored(_into_large(docs, members, large, n, num, den), "near-reached")
-    small = join_checked(members, large.select("c"), ["c"], how="left_anti")
-    # if this is the first shingle that both have, they share it and what follows at most
-    able = (num + den) * (1 + F.least(F.col("x_n") - F.col("x_at"), F.col("y_n") - F.col("y_at"))) >= num * (F.col("x_n") + F.col("y_n"))
-    close = _least_distance([F.col(f"x_{x}") for x in _LANE_NAMES], [F.col(f"y_{x}") for x in _LANE_NAMES]) <= DISTANCE
+    small = stored(join_checked(members, large.select("c"), ["c"], how="left_anti"), "near-small")
     shares = small.groupBy("s", "c").agg(F.count(F.lit(1)).alias("times"))
-    major = shares.groupBy("s").agg(F.max_by("c", F.struct("times", "c")).alias("major"), F.count(F.lit(1)).alias("kinds")).where("kinds > 1").select("s", "major")
-    minor = small.join(major.hint("merge"), "s").where("c <> major").select("s", *_side("x"))
-    found = minor.join(small.select("s", *_side("y")).hint("merge"), "s").where((F.col("x_c") != F.col("y_c")) & able & close)
-    found = found.select(F.least("x_id", "y_id").alias("a"), F.greatest("x_id", "y_id").alias("b")).distinct().join(tested, ["a", "b"], "left_anti")
+    major = stored(shares.groupBy("s").agg(F.max_by("c", F.struct("times", "c")).alias("major"), F.count(F.lit(1)).alias("kinds")).where("kinds > 1").select("s", "major"), "near-major")
+    shared = stored(small.join(major.hint("merge"), "s").withColumn("minor", F.col("c") != F.col("major")).drop("major"), "near-shared")
+    found = _in_bands(shared.where("minor"), shared, num, den).union(_in_bands(shared.where("not minor"), shared.where("minor"), num, den))
+    found = found.distinct().join(tested, ["a", "b"], "left_anti")
     links = links.union(_links(docs, stored(found, "pairs-more"), n, num, den))
     return components(labels.select(F.col("id").alias("a"), F.col("component").alias("b")).union(links))
 
