@@ -26,6 +26,8 @@ BITS = 18
 SAMPLE = 16_000
 SHARD_ROWS = 2_000
 SCALE = 12.0
+#: Bytes of text whose features are held at once (about 60 times as much memory, in every worker).
+CHUNK = 512 << 10
 #: FTRL-Proximal: step size, smoothing, L1, L2, passes over a shard.
 ALPHA, BETA, L1, L2, EPOCHS = 0.3, 1.0, 0.002, 0.002, 6
 _shape = np.arange(256, dtype=np.uint8)
@@ -62,7 +64,7 @@ def _train(table: pa.Table) -> pa.Table:
     table = table.sort_by("at").combine_chunks()
     y = table.column("quality").to_numpy().astype(float)
     rows = []
-    for chunk in A.chunks(iter(table.to_batches()), "text"):
+    for chunk in A.chunks(iter(table.to_batches()), "text", CHUNK):
         number, first = features(chunk.column("text"))
         for a, z in zip(first[:-1], first[1:]):
             i, n = np.unique(number[a:z], return_counts=True)
@@ -110,7 +112,7 @@ def train(docs: DataFrame, labels: DataFrame, *, sample: int = SAMPLE, id: str =
 def _scored(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         w = shared.value
-        for chunk in A.chunks(batches, "text", 2 << 20):
+        for chunk in A.chunks(batches, "text", CHUNK):
             number, first = features(chunk.column("text"))
             total = np.concatenate(([0.0], np.cumsum(w[number])))
             mean = (total[first[1:]] - total[first[:-1]]) * SCALE / np.maximum(1, np.diff(first))
