@@ -8,7 +8,7 @@ once. A key's rows are taken one after the other, as the rules ask for.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -22,11 +22,15 @@ def fold(rows: DataFrame, by: list[str], order: list[str], step: Step, schema: s
     """What `step` emits over each key's rows in order; keys must not be null in `order`."""
     kind = to_arrow_schema(StructType.fromDDL(schema))
 
-    def run(table: pa.Table) -> pa.Table:
-        state, out = None, []
-        for row in table.sort_by([(c, "ascending") for c in order]).to_pylist():
-            state, emitted = step(state, row)
-            out += emitted
-        return pa.Table.from_pylist(out, schema=kind)
-
-    return rows.groupBy(*by).applyInArrow(run, schema)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, state = None, None
+        for batch in batches:
+            out = []
+            for row in batch.to_pylist():
+                if (now := tuple(row[c] for c in by)) != key:
+                    key, state = now, None
+                state, emitted = step(state, row)
+                out += emitted
+            yield pa.RecordBatch.from_pylist(out, schema=kind)
+
+    return rows.repartition(*by).sortWithinPartitions(*by, *order).mapInArrow(run, schema)

@@ -109,19 +109,33 @@ def gate_disposition(gates: DataFrame, required: list[str]) -> DataFrame:
     return found.select("run", F.when(bad, "rejected").when(F.exists(need, lambda g: state(g) == "alert"), "review").otherwise("accepted").alias("disposition"))
 
 
-def forbidden_keys(records: DataFrame, json: str, forbidden: list[str], depth: int = 6) -> DataFrame:
-    """(record_id, path) of forbidden keys of JSON objects, at any of `depth` levels of nesting in objects.
+def _nesting(json: Column) -> Column:
+    """How deep brackets of a JSON text nest, strings left out."""
+    bare = F.regexp_replace(json, r'"(?:\\.|[^"\\])*+"', "")
+    steps = F.transform(F.regexp_extract_all(bare, F.lit(r"[\[\]{}]"), F.lit(0)), lambda c: F.when(c.isin("[", "{"), 1).otherwise(-1))
+    start = F.struct(F.lit(0).alias("now"), F.lit(0).alias("most"))
+    after = lambda a, x: F.struct((a["now"] + x).alias("now"), F.greatest(a["most"], a["now"] + x).alias("most"))
+    return F.aggregate(steps, start, after, lambda a: a["most"])
 
-    Each level is a projection: keys of the objects found so far; arrays are not
-    gone into.
+
+def forbidden_keys(records: DataFrame, json: str, forbidden: list[str]) -> DataFrame:
+    """(record_id, path) of forbidden keys of JSON values: in objects and arrays, at any depth, in any case.
+
+    Each level of nesting is a projection; how many there are is measured first.
+    Keys that aren't plain words stand in quotes in a path. A text that isn't
+    JSON, and null, have no keys.
     """
-    level, found = records.select("record_id", F.lit("$").alias("path"), F.col(json).alias("node")), None
+    spark = records.sparkSession
+    level = records.select("record_id", F.lit("$").alias("path"), F.try_parse_json(json).alias("node")).where("node is not null")
+    depth = records.agg(F.max(_nesting(F.col(json)))).first()[0] or 0
+    found = spark.createDataFrame([], f"record_id {records.schema['record_id'].dataType.simpleString()}, path string")
     for _ in range(depth):
-        each = level.select("record_id", "path", "node", F.explode(F.json_object_keys("node")).alias("key"))
-        each = each.select("record_id", F.concat_ws(".", "path", "key").alias("path"), "key", F.expr("get_json_object(node, concat('$.', key))").alias("node"))
-        hit = each.where(F.col("key").isin(forbidden)).select("record_id", "path")
-        found = hit if found is None else found.unionByName(hit)
-        level = each.where("startswith(node, '{')").select("record_id", "path", "node")
+        each = spark.sql("SELECT record_id, path, e.pos, e.key, e.value FROM {level}, LATERAL variant_explode(node) AS e", level=level)
+        name = F.when(F.col("key").rlike("^[A-Za-z_][A-Za-z0-9_]*$"), F.col("key")).otherwise(F.concat(F.lit('"'), F.replace(F.replace("key", F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"')), F.lit('"')))
+        step = F.when(F.col("key").isNull(), F.concat(F.lit("["), F.col("pos").cast("string"), F.lit("]"))).otherwise(F.concat(F.lit("."), name))
+        each = each.select("record_id", F.concat("path", step).alias("path"), "key", F.col("value").alias("node"))
+        found = found.unionByName(each.where(F.lower("key").isin([k.lower() for k in forbidden])).select("record_id", "path"))
+        level = each.select("record_id", "path", "node")
     return found
 
 

@@ -11,6 +11,8 @@ from parlance.operators.folds import fold
 # Fixed values of the rules; times in milliseconds.
 FRAGMENT_GAP, FRAGMENT_WORDS, FRAGMENT_MS, UNIT_CHARS = 400, 3, 1000, 700
 LINKED_MS, LINKED_RATIO, SILENCE_MS, OVERLAP_MS, REVIEW_BELOW, CARDS = 3000, 2, 3000, 150, 78, 3
+#: Words of one interjection that does not end what the other speaker says.
+BRIDGE = 3
 
 
 def padded(text: Column) -> Column:
@@ -286,16 +288,37 @@ def sentences(text: Column) -> Column:
     return F.aggregate(parts, F.array().cast("array<string>"), add)
 
 
-def quotes_found(quotes: DataFrame, rows: DataFrame) -> DataFrame:
-    """quotes (session_id, claim_id, role, quote) with `found`: the quote stands in one row of that role, word for word.
+def role_tokens(rows: DataFrame, bridge: int = BRIDGE) -> DataFrame:
+    """(session_id, role, run, at, word): the words of each role's runs, in order.
 
-    Rows meet quotes by the quote's first word, so a session's rows are not
-    compared with all of its quotes. A quote without words is not found.
+    A run goes over rows of one role. One row of others with at most `bridge`
+    words between two of them doesn't end it; more rows or words do. Rows without
+    words neither join nor interrupt.
     """
-    first = F.try_element_at(score_tokens(F.col("quote")), F.lit(1))
-    asked = quotes.withColumn("word", first)
-    said = rows.select("session_id", "role", padded(F.col("text")).alias("said"), F.explode(F.array_distinct(score_tokens(F.col("text")))).alias("word"))
-    hit = asked.where("word is not null").join(said, ["session_id", "role", "word"]).where(F.contains("said", padded(F.col("quote")))).select("session_id", "claim_id").distinct()
+    said = rows.withColumn("words", score_tokens(F.coalesce("text", F.lit("")))).withColumn("n", F.size("words").cast("long")).where("n > 0")
+    session = Window.partitionBy("session_id").orderBy("position")
+    said = said.withColumns({"row": F.row_number().over(session), "upto": F.sum("n").over(session)})
+    own = Window.partitionBy("session_id", "role").orderBy("position")
+    gap, between = F.col("row") - F.lag("row").over(own) - 1, F.col("upto") - F.col("n") - F.lag("upto").over(own)
+    parted = F.when(gap.isNull(), 0).when((gap > 1) | ((gap == 1) & (between > bridge)), 1).otherwise(0)
+    runs = said.withColumn("parted", parted).withColumn("run", F.sum("parted").over(own)).withColumn("first", F.sum("n").over(own) - F.col("n"))
+    return runs.select("session_id", "role", "run", "first", F.posexplode("words").alias("i", "word")).select("session_id", "role", "run", (F.col("first") + F.col("i")).alias("at"), "word")
+
+
+def quotes_found(quotes: DataFrame, rows: DataFrame, bridge: int = BRIDGE) -> DataFrame:
+    """quotes (session_id, claim_id, role, quote) with `found`: the quote's words stand in a row in one of that role's runs.
+
+    Runs (see role_tokens) may go over several rows. A quote meets the places of
+    its first word, and each of its words then the place it must have, so a
+    session's rows are not compared with all of its quotes. A quote without words
+    is not found.
+    """
+    said = role_tokens(rows, bridge)
+    asked = quotes.select("session_id", "claim_id", "role", score_tokens(F.col("quote")).alias("words")).where(F.size("words") > 0).distinct()
+    start = asked.withColumn("word", F.col("words")[0]).join(said, ["session_id", "role", "word"]).select("session_id", "role", "claim_id", "words", "run", F.col("at").alias("start"))
+    each = start.select("session_id", "role", "claim_id", "run", "start", F.size("words").alias("n"), F.posexplode("words").alias("i", "word")).withColumn("at", F.col("start") + F.col("i"))
+    met = each.join(said, ["session_id", "role", "run", "at", "word"])
+    hit = met.groupBy("session_id", "claim_id", "run", "start", "n").agg(F.count(F.lit(1)).alias("met")).where("met = n").select("session_id", "claim_id").distinct()
     return quotes.join(hit.withColumn("found", F.lit(True)), ["session_id", "claim_id"], "left").fillna(False, ["found"])
 
 
@@ -349,11 +372,18 @@ def hedge_dropped(claims: DataFrame, cited: DataFrame, hedges: list[str]) -> Dat
     return claims.where(~hedged("claim")).join(cited.where(hedged("text")).select("claim_id").distinct(), "claim_id", "left_semi").select("claim_id")
 
 
-def needs_exam(claims: DataFrame, rows: DataFrame, exam: list[str], performed: list[str]) -> DataFrame:
-    """Claims with a word of `exam` in sessions where no row has a word of `performed`."""
-    holds = lambda c, ws: F.size(F.array_intersect(F.array(*map(F.lit, ws)), score_tokens(F.col(c)))) > 0
-    done = rows.where(holds("text", performed)).select("session_id").distinct()
-    return claims.where(holds("claim", exam)).join(done, "session_id", "left_anti").select("session_id", "claim_id")
+def needs_exam(claims: DataFrame, rows: DataFrame, *, exam: str, performed: str, intent: str, absent: str, presupposed: str) -> DataFrame:
+    """(session_id, claim_id, subtype) of claims with the language of an examination that no DOCTOR row of the session performs.
+
+    The rules are regular expressions for lower-cased text. A claim that only
+    plans an examination (`intent`) claims nothing. One that presupposes it is
+    reported even where it says that nothing was found; other sentences of absence
+    (`absent`) are honest. What remains is a claim if it matches `exam`.
+    """
+    says = lambda c, p: F.coalesce(F.lower(c).rlike(p), F.lit(False))
+    done = rows.where((F.upper("role") == "DOCTOR") & says("text", performed)).select("session_id").distinct()
+    kind = F.when(says("claim", intent), F.lit(None)).when(says("claim", presupposed), "exam-presupposed-without-performance").when(~says("claim", absent) & says("claim", exam), "exam-claim-without-performance")
+    return claims.withColumn("subtype", kind).where("subtype is not null").join(done, "session_id", "left_anti").select("session_id", "claim_id", "subtype")
 
 
 def preservation_defects(text: Column, role: Column, speaker: Column, source_text: Column, source_role: Column, source_speaker: Column) -> Column:

@@ -7,9 +7,19 @@ import re
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from parlance.functions.text import cue_words
+
+
+def _quoted(word: str) -> str:
+    """The word as a literal of Spark's regular expressions."""
+    return re.sub(r"([^0-9A-Za-z_\u0080-\U0010ffff])", r"\\\1", word)
+
 
 def _pattern(variant: str) -> str:
-    return r"\b" + r"\s+".join(re.escape(w) for w in variant.split()) + r"\b"
+    """Whole words of the variant, apart by any white space; an end that is no word character has no boundary."""
+    words = variant.split()
+    first, last = r"\b" if re.match(r"\w", words[0]) else "", r"\b" if re.search(r"\w$", words[-1]) else ""
+    return first + r"\s+".join(map(_quoted, words)) + last
 
 
 def lexicon_rewrite(text: Column, lexicon: list[tuple[str, list[str]]]) -> tuple[Column, Column]:
@@ -24,8 +34,9 @@ def lexicon_rewrite(text: Column, lexicon: list[tuple[str, list[str]]]) -> tuple
             p = _pattern(variant)
             found = found + F.regexp_count(text, F.lit(f"(?i){p}"))
             capital = f"(?i)(?-i:(?=[A-Z])){p}"
-            text = F.regexp_replace(text, capital, canonical[:1].upper() + canonical[1:])
-            text = F.regexp_replace(text, f"(?i)(?-i:(?![A-Z])){p}", canonical)
+            given = re.sub(r"([$\\])", r"\\\1", canonical)  # no group references
+            text = F.regexp_replace(text, capital, given[:1].upper() + given[1:])
+            text = F.regexp_replace(text, f"(?i)(?-i:(?![A-Z])){p}", given)
     return text, found
 
 
@@ -46,12 +57,30 @@ def row_exception(own: Column, other: Column, n_words: Column) -> Column:
     return F.when((other > 0) & (own > 0), "uncertain").when((n_words >= 5) & (other >= 2), "flip").otherwise("keep")
 
 
-def orphan_role(rows: DataFrame, own: Column) -> DataFrame:
-    """UNKNOWN rows take the role of their own text, else of the row before, else of the row after."""
+def cue_phrase(text: Column) -> Column:
+    """Cue words of the text in one line with blanks around, so that cues are found as whole words."""
+    return F.concat(F.lit(" "), F.array_join(cue_words(F.coalesce(text, F.lit(""))), " "), F.lit(" "))
+
+
+def phrase_role(phrase: Column, doctor: list[str], patient: list[str]) -> Column:
+    """DOCTOR or PATIENT by the cue that comes first in a cue phrase (DOCTOR on a tie); null without a cue."""
+    at = lambda cues: F.array_min(F.filter(F.array(*(F.instr(phrase, f" {c} ") for c in cues)), lambda x: x > 0))
+    d, p = at(doctor), at(patient)
+    return F.when(d.isNull() & p.isNull(), F.lit(None)).when(p.isNull() | (d <= p), "DOCTOR").otherwise("PATIENT")
+
+
+def orphan_role(rows: DataFrame, doctor: list[str], patient: list[str]) -> DataFrame:
+    """Rows of orphan speakers (column `orphan`) with the role that their words show; others, and rows without a cue, keep theirs.
+
+    A row is judged by its own text, then joined to the row before, then to the
+    row after, if that is the same speaker's; the first phrase with a cue decides.
+    """
     w = Window.partitionBy("session_id").orderBy("position")
-    known = F.when(F.col("role") != "UNKNOWN", F.col("role"))
-    found = F.coalesce(known, own, F.lag(known).over(w), F.lead(known).over(w), F.lit("UNKNOWN"))
-    return rows.withColumn("role", found)
+    beside = lambda f: F.when(f("speaker_id").over(w) == F.col("speaker_id"), f("text").over(w))
+    rows = rows.withColumns({"_before": beside(F.lag), "_after": beside(F.lead)})
+    joined = [F.col("text"), F.concat("_before", F.lit(" "), "text"), F.concat("text", F.lit(" "), "_after")]
+    found = F.coalesce(*(phrase_role(cue_phrase(t), doctor, patient) for t in joined), F.col("role"))
+    return rows.withColumn("role", F.when(F.col("orphan"), found).otherwise(F.col("role"))).drop("_before", "_after")
 
 
 def without_markers(text: Column) -> Column:

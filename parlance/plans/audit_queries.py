@@ -145,10 +145,19 @@ def gates(spark, sf):
     return G.gate_disposition(found, ["view", "click", "error"])
 
 
-@query("ol11_forbidden_keys", f"{_L} SELECT event_id AS record_id, unnest(CASE WHEN k % 3 = 0 THEN ['$.a.token', '$.token'] WHEN k % 3 = 1 THEN ['$.a.b.secret'] ELSE [] END) AS path FROM logs")
+_NESTED = [
+    '{"token": 1, "a": {"token": {"x": 2}}}',
+    '{"a": {"b": {"secret": [1]}, "c": 1}}',
+    '{"a": [{"token": 1}, [{"Secret": {"token": null}}]], "b.c": {"TOKEN": "x"}}',
+    '{"a": {"b": {"c": {"d": {"e": {"f": {"g": {"token": "a } b"}}}}}}}, "tokens": "token"}',
+    '[1, "token", {"é": {"secret": {}}}]',
+    '{"token": ',
+]
+
+
+@query("ol11_forbidden_keys", f"{_L} SELECT record_id, t.fullkey AS path FROM (SELECT event_id AS record_id, [{', '.join(chr(39) + x + chr(39) for x in _NESTED)}][event_id % 6 + 1] AS json FROM logs), json_tree(CASE WHEN json_valid(json) THEN json END) t WHERE lower(t.key) IN ('token', 'secret')")
 def forbidden(spark, sf):
-    k = F.col("k") % 3
-    json = F.when(k == 0, '{"token": 1, "a": {"token": {"x": 2}}}').when(k == 1, '{"a": {"b": {"secret": [1]}, "c": 1}}').otherwise('{"a": [{"token": 1}]}')
+    json = F.element_at(F.array(*map(F.lit, _NESTED)), (F.col("event_id") % 6 + 1).cast("int"))
     return G.forbidden_keys(log_events(spark, sf).select(F.col("event_id").alias("record_id"), json.alias("json")), "json", ["token", "secret"])
 
 

@@ -80,8 +80,6 @@ def rewritten(spark, sf):
 _CUES = {"DOCTOR": ["the ", "und "], "PATIENT": ["que ", "die "]}
 _D = "(CASE WHEN contains(lower(text), 'the ') THEN 1 ELSE 0 END + CASE WHEN contains(lower(text), 'und ') THEN 1 ELSE 0 END)"
 _P = "(CASE WHEN contains(lower(text), 'que ') THEN 1 ELSE 0 END + CASE WHEN contains(lower(text), 'die ') THEN 1 ELSE 0 END)"
-_AT = "CASE WHEN instr(lower(text), '{0}') > 0 THEN instr(lower(text), '{0}') ELSE 999999 END"
-_FIRST = f"CASE WHEN contains(lower(text), 'the ') OR contains(lower(text), 'und ') OR contains(lower(text), 'que ') OR contains(lower(text), 'die ') THEN CASE WHEN least({_AT.format('the ')}, {_AT.format('und ')}) <= least({_AT.format('que ')}, {_AT.format('die ')}) THEN 'DOCTOR' ELSE 'PATIENT' END END"
 
 
 @query("oj2_oj6_row_exceptions", f"WITH {ROWS_SQL}, c AS (SELECT segment_id, {_D} AS own, {_P} AS other, len(regexp_extract_all(lower(text), '[a-z'']+')) AS n FROM rows) SELECT segment_id, CAST(own AS INT) AS own, CAST(other AS INT) AS other, CASE WHEN other > 0 AND own > 0 THEN 'uncertain' WHEN n >= 5 AND other >= 2 THEN 'flip' ELSE 'keep' END AS verdict FROM c")
@@ -91,10 +89,36 @@ def exceptions(spark, sf):
     return rows.select("segment_id", "own", "other", rules.row_exception(F.col("own"), F.col("other"), F.col("n")).alias("verdict"))
 
 
-@query("oj4_oj7_orphan_roles", f"WITH {ROWS_SQL}, k AS (SELECT *, CASE WHEN position % 3 <> 1 AND role <> 'UNKNOWN' THEN role END AS known FROM rows) SELECT segment_id, coalesce(known, {_FIRST}, lag(known) OVER w, lead(known) OVER w, 'UNKNOWN') AS role FROM k WINDOW w AS (PARTITION BY session_id ORDER BY position)")
+CUE_PHRASE_SQL = r"' ' || array_to_string(list_filter(list_transform(regexp_split_to_array(lower(trim({0})), '\s+'), lambda w: regexp_replace(w, '[^a-z0-9]', '', 'g')), lambda w: w <> ''), ' ') || ' '"
+
+
+def first_cue_sql(phrase: str, cues: list[str]) -> str:
+    """Place of the first cue in a phrase; null without one."""
+    return "least(" + ", ".join(f"nullif(instr({phrase}, ' {c} '), 0)" for c in cues) + ")"
+
+
+def phrase_role_sql(phrase: str, doctor: list[str], patient: list[str]) -> str:
+    d, p = first_cue_sql(phrase, doctor), first_cue_sql(phrase, patient)
+    return f"CASE WHEN {d} IS NULL AND {p} IS NULL THEN NULL WHEN {p} IS NULL OR {d} <= {p} THEN 'DOCTOR' ELSE 'PATIENT' END"
+
+
+_DOC, _PAT = ["the", "und", "la"], ["que", "in die", "of"]
+_JOINED = {"own": "text", "backward": "before || ' ' || text", "forward": "text || ' ' || after"}
+
+
+@query(
+    "oj4_oj7_orphan_roles",
+    f"""WITH {ROWS_SQL}, k AS (SELECT *, 'spk_' || (position // 2 % 3) AS speaker FROM rows),
+n AS (SELECT *, CASE WHEN lag(speaker) OVER w = speaker THEN lag(text) OVER w END AS before, CASE WHEN lead(speaker) OVER w = speaker THEN lead(text) OVER w END AS after,
+  CASE WHEN speaker = 'spk_1' THEN 'PATIENT' ELSE 'DOCTOR' END AS mapped FROM k WINDOW w AS (PARTITION BY session_id ORDER BY position)),
+p AS (SELECT *, {", ".join(f"{CUE_PHRASE_SQL.format(t)} AS {name}" for name, t in _JOINED.items())} FROM n)
+SELECT segment_id, CASE WHEN speaker = 'spk_2' THEN coalesce({", ".join(phrase_role_sql(name, _DOC, _PAT) for name in _JOINED)}, mapped) ELSE mapped END AS role FROM p""",
+)
 def orphans(spark, sf):
-    rows = transcript(spark, sf).withColumn("role", F.when(F.col("position") % 3 == 1, "UNKNOWN").otherwise(F.col("role")))
-    return rules.orphan_role(rows, rules.first_cue_role(F.col("text"), _CUES)).select("segment_id", "role")
+    """Speakers of two rows each; the third has the first one's role and fewer rows, so it is the orphan."""
+    speaker = F.expr("position div 2 % 3")
+    rows = transcript(spark, sf).withColumns({"speaker_id": F.concat(F.lit("spk_"), speaker), "role": F.when(speaker == 1, "PATIENT").otherwise("DOCTOR"), "orphan": speaker == 2})
+    return rules.orphan_role(rows, _DOC, _PAT).select("segment_id", "role")
 
 
 @query("oj12_without_markers", r"SELECT doc_id, regexp_replace(text || ' [3] end [1, 2].', '\s*\[\d+(?:\s*,\s*\d+)*\]', '', 'g') AS text FROM documents")

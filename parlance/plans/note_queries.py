@@ -255,11 +255,19 @@ def uncertainty(spark, sf):
     return notes.answered_uncertainty(rows.withColumn("text", F.when(F.col("position") % 2 == 0, F.concat("text", F.lit(" ?"))).otherwise(F.col("text"))), _HEDGES)
 
 
-@query("ok5_exam_claims", f"WITH {_R}, done AS (SELECT DISTINCT session_id FROM rows WHERE {_HAS.format('text', ['que', 'under'])}) SELECT session_id, segment_id AS claim_id FROM rows WHERE role = 'DOCTOR' AND {_HAS.format('text', ['in', 'the'])} AND session_id NOT IN (SELECT session_id FROM done)")
+_EXAM = {"exam": "(^| )(in|the|la) [^.;]*(of|die|que)( |[.,]|$)", "performed": "(^| )(under|queles|at)( |[.,])", "intent": "(^| )(for|para)( |[.,])", "absent": "(^| )(with|des)( |[.,])", "presupposed": "(^| )(on|der)( |[.,])"}
+_SAYS = {k: f"regexp_matches(lower(text), '{v}')" for k, v in _EXAM.items()}
+
+
+@query(
+    "ok5_exam_claims",
+    f"""WITH {_R}, done AS (SELECT DISTINCT session_id FROM rows WHERE role = 'DOCTOR' AND {_SAYS["performed"]}),
+c AS (SELECT session_id, segment_id AS claim_id, CASE WHEN {_SAYS["intent"]} THEN NULL WHEN {_SAYS["presupposed"]} THEN 'exam-presupposed-without-performance' WHEN {_SAYS["absent"]} THEN NULL WHEN {_SAYS["exam"]} THEN 'exam-claim-without-performance' END AS subtype FROM rows)
+SELECT * FROM c WHERE subtype IS NOT NULL AND session_id NOT IN (SELECT session_id FROM done)""",
+)
 def exams(spark, sf):
     rows = transcript(spark, sf)
-    claims = rows.where("role = 'DOCTOR'").select("session_id", F.col("segment_id").alias("claim_id"), F.col("text").alias("claim"))
-    return notes.needs_exam(claims, rows, ["in", "the"], ["que", "under"])
+    return notes.needs_exam(rows.select("session_id", F.col("segment_id").alias("claim_id"), F.col("text").alias("claim")), rows, **_EXAM)
 
 
 _QUOTES = "quotes AS (SELECT session_id, segment_id AS claim_id, CASE WHEN position % 3 = 0 THEN 'DOCTOR' ELSE 'PATIENT' END AS role, array_to_string(list_slice(regexp_extract_all(lower(p), '[a-z'']+'), 2, 4), ' ') AS quote FROM (SELECT *, coalesce(lag(text) OVER (PARTITION BY session_id ORDER BY position), '') AS p FROM rows) WHERE role = 'DOCTOR')"
@@ -275,10 +283,32 @@ def _quotes(rows):
     return each.select("session_id", F.col("segment_id").alias("claim_id"), F.when(F.col("position") % 3 == 0, "DOCTOR").otherwise("PATIENT").alias("role"), "quote")
 
 
-@query("ok7_verbatim_quotes", f"WITH {_R}, {_QUOTES}, {_SUPPORT} SELECT session_id, claim_id, role, quote, claim_id IN (SELECT claim_id FROM support) AS found FROM quotes")
+_WORDS_OF = "regexp_extract_all(lower({0}), '[a-z'']+')"
+RUNS_SQL = f"""ws AS (SELECT session_id, position, role, {_WORDS_OF.format("text")} AS w FROM rows),
+worded AS (SELECT *, row_number() OVER s AS n, sum(len(w)) OVER s AS upto FROM ws WHERE len(w) > 0 WINDOW s AS (PARTITION BY session_id ORDER BY position)),
+gaps AS (SELECT *, n - lag(n) OVER o - 1 AS gap, upto - len(w) - lag(upto) OVER o AS between_ FROM worded WINDOW o AS (PARTITION BY session_id, role ORDER BY position)),
+parts AS (SELECT *, sum(CASE WHEN gap > 1 OR gap = 1 AND between_ > 3 THEN 1 ELSE 0 END) OVER (PARTITION BY session_id, role ORDER BY position) AS run FROM gaps),
+runs AS (SELECT session_id, role, run, ' ' || string_agg(array_to_string(w, ' '), ' ' ORDER BY position) || ' ' AS said FROM parts GROUP BY ALL)"""
+
+
+@query(
+    "ok7_verbatim_quotes",
+    f"""WITH {_R}, {RUNS_SQL}, near AS (SELECT *, coalesce({_WORDS_OF.format("lag(text) OVER w")}, []) AS w1, coalesce({_WORDS_OF.format("lag(text, 2) OVER w")}, []) AS w2, {_WORDS_OF.format("text")} AS w0 FROM rows WINDOW w AS (PARTITION BY session_id ORDER BY position)),
+quotes AS (SELECT session_id, segment_id AS claim_id, CASE WHEN position % 4 = 1 AND position % 3 <> 0 THEN 'PATIENT' ELSE 'DOCTOR' END AS role, array_to_string(CASE WHEN position % 4 = 1 THEN w1[2:4] ELSE list_concat(w2[-2:], w0[:2]) END, ' ') AS quote FROM near WHERE role = 'DOCTOR')
+SELECT session_id, claim_id, role, quote, quote <> '' AND EXISTS (SELECT 1 FROM runs r WHERE r.session_id = q.session_id AND r.role = q.role AND contains(r.said, ' ' || q.quote || ' ')) AS found FROM quotes q""",
+)
 def quotes(spark, sf):
-    rows = transcript(spark, sf)
-    return notes.quotes_found(_quotes(rows), rows)
+    """Words of the row before, and the last words of the row two before with the first of this one."""
+    from pyspark.sql import Window
+
+    rows, w = transcript(spark, sf), Window.partitionBy("session_id").orderBy("position")
+    words = lambda c: F.coalesce(F.regexp_extract_all(F.lower(c), F.lit("[a-z']+"), F.lit(0)), F.array().cast("array<string>"))
+    near = rows.withColumns({"w1": words(F.lag("text").over(w)), "w2": words(F.lag("text", 2).over(w)), "w0": words("text")}).where("role = 'DOCTOR'")
+    tail = F.slice("w2", F.greatest(F.lit(1), F.size("w2") - 1), F.lit(2))
+    inner = F.col("position") % 4 == 1
+    quote = F.when(inner, F.slice("w1", 2, 3)).otherwise(F.concat(tail, F.slice("w0", 1, 2)))
+    role = F.when(inner & (F.col("position") % 3 != 0), "PATIENT").otherwise("DOCTOR")
+    return notes.quotes_found(near.select("session_id", F.col("segment_id").alias("claim_id"), role.alias("role"), F.array_join(quote, " ").alias("quote")), rows)
 
 
 @query("ok8_hedge_dropped", f"WITH {_R}, {_CITED} SELECT DISTINCT r.segment_id AS claim_id FROM rows r JOIN cited c ON c.claim_id = r.segment_id WHERE r.role = 'DOCTOR' AND NOT {_HAS.format('r.text', ['in', 'que'])} AND {_HAS.format('c.text', ['in', 'que'])}")
