@@ -238,8 +238,8 @@ def train(docs: DataFrame, *, sample: int = SAMPLE, cuts: int = CUTS, id: str =
     rows = rows.where(F.pmod("at", F.lit(1 << 30)) < int((1 << 30) * min(1.0, sample / total)))
     rows = rows.withColumn("cut", F.explode(F.array(*(F.lit(i) for i in range(cuts)))))
     begin = F.pmod(F.xxhash64("at", "cut"), F.greatest(F.lit(1), F.char_length("text") - WINDOW // 2)).cast("int") + 1
-    some = rows.select("lang", "at", "cut", F.substr("text", begin, F.lit(WINDOW)).alias("text"))
-    fitted = some.groupBy(F.lit(0)).applyInArrow(_fit, "languages array<string>, weights binary").collect()  # `sample * cuts` short rows at most
+    some = rows.select(F.col("at").isNull().alias("one"), "lang", "at", "cut", F.substr("text", begin, F.lit(WINDOW)).alias("text"))
+    fitted = some.groupBy("one").applyInArrow(_fit, "languages array<string>, weights binary").collect()  # `sample * cuts` short rows at most
     if not fitted:
         return None
     net = Network(list(fitted[0].languages))
