@@ -44,9 +44,9 @@ s{i + 1} AS (SELECT s.first, s.docs, s.bytes, s.lane, coalesce(f.into_, s.run) A
 def _sharding_sql() -> str:
     tiers = "".join(_tier(i, 0 if i == 0 else sharding.BASE * sharding.FANOUT**i, sharding.BASE * sharding.FANOUT ** (i + 1)) for i in range(sharding.TIERS))
     last = f"s{sharding.TIERS}"
-    return f"""WITH a AS (SELECT coalesce(CAST(floor(doc_id / {ARRIVAL_DOCS}) AS BIGINT), -1) AS first, count(*) AS docs,
-  CAST(sum(coalesce(strlen(text), 0)) AS BIGINT) AS bytes FROM documents GROUP BY 1),
-s0 AS (SELECT first, docs, bytes, CAST(floor(first / {sharding.LANE}) AS BIGINT) AS lane, first AS run, bytes AS size FROM a),{tiers}
+    return f"""WITH a AS (SELECT *, row_number() OVER (ORDER BY first) AS seq FROM (
+  SELECT coalesce(CAST(floor(doc_id / {ARRIVAL_DOCS}) AS BIGINT), -1) AS first, count(*) AS docs, CAST(sum(coalesce(strlen(text), 0)) AS BIGINT) AS bytes FROM documents GROUP BY 1)),
+s0 AS (SELECT first, docs, bytes, seq // {sharding.LANE} AS lane, seq AS run, bytes AS size FROM a),{tiers}
 r AS (SELECT run, count(*) AS parts, min(first) AS only_, sum(docs) AS docs, sum(bytes) AS bytes FROM {last} GROUP BY run)
 SELECT d.doc_id, CAST(coalesce(strlen(d.text), 0) AS BIGINT) AS n_bytes,
   CASE WHEN r.parts = 1 THEN 'v1-a' || lpad(CAST(r.only_ AS VARCHAR), 12, '0') ELSE 'v2-m' || lpad(CAST(r.run AS VARCHAR), 12, '0') END AS shard,

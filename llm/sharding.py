@@ -3,8 +3,10 @@
 `append` writes arrivals as small shards and commits a manifest that lists them.
 `compact` plans on the manifest alone: a shard's tier is the power of `fanout`
 that its bytes reach over `base`; in each tier, from the smallest, shards next
-to each other in arrival order are put into bins of the next tier's size, and a
-bin that is full is merged. Only shards that merge are read and rewritten, once.
+to each other are put into bins of the next tier's size, and a bin that is full
+is merged. Only shards that merge are read and rewritten, once. The order is that
+of sequence numbers which commits give: an append's shards, by arrival number,
+come after all that are there, so arrival numbers may repeat and have any gaps.
 
 Each write goes to a folder of its own, named by a fresh id (`attempt`) that the
 manifest lists, so files of a write that failed or lost are never read. A
@@ -28,7 +30,7 @@ from llm.storage import join_checked, partitions, stored
 
 BASE, FANOUT, TIERS = 1 << 20, 4, 3
 TARGET = BASE * FANOUT**TIERS
-#: Shards planned together; arrivals further apart are never merged.
+#: Shards that follow each other in the order of commits and are planned together.
 LANE = 1 << 14
 
 
@@ -50,16 +52,16 @@ def version(spark: SparkSession, root: str) -> int:
 
 
 def manifest(spark: SparkSession, root: str, at: int | None = None) -> DataFrame:
-    """(shard, attempt, first, docs, bytes) of a version's shards."""
+    """(shard, attempt, seq, first, docs, bytes) of a version's shards; seq is their order, first the (least) arrival number."""
     name = spark.read.text(f"{root}/versions/v{at or version(spark, root)}").first()[0]
-    return spark.read.schema("shard string, attempt string, first long, docs long, bytes long").parquet(f"{root}/manifests/{name}")
+    return spark.read.schema("shard string, attempt string, seq long, first long, docs long, bytes long").parquet(f"{root}/manifests/{name}")
 
 
 def commit(spark: SparkSession, root: str, shards: DataFrame, after: int) -> int:
     """Make `shards` version after + 1, or raise Conflict if there is one."""
     fs, path = _fs(spark, root)
     name = uuid.uuid4().hex
-    shards.select("shard", "attempt", "first", "docs", "bytes").write.parquet(f"{root}/manifests/{name}")
+    shards.select("shard", "attempt", "seq", "first", "docs", "bytes").write.parquet(f"{root}/manifests/{name}")
     aside, final = path(f"{root}/staged/{name}"), path(f"{root}/versions/v{after + 1}")
     out = fs.create(aside, False)
     out.write(bytearray(name.encode()))
@@ -112,15 +114,18 @@ def append(rows: DataFrame, root: str, *, arrival: Column, text: str = "text") -
     named.drop("_first").limit(0).write.mode("append").parquet(f"{root}/schema")
     _write(named.drop("_first"), root, attempt)
     new = named.groupBy(F.col("_shard").alias("shard"), F.lit(attempt).alias("attempt"), F.col("_first").alias("first")).agg(F.count(F.lit(1)).alias("docs"), F.sum(F.coalesce(F.octet_length(text), F.lit(0))).cast("long").alias("bytes"))
-    return commit(spark, root, manifest(spark, root, now).unionByName(new) if now else new, now)
+    there = manifest(spark, root, now) if now else None
+    start = (there.agg(F.max("seq")).first()[0] if now else None) or 0
+    new = new.withColumn("seq", F.row_number().over(Window.orderBy("first")) + F.lit(start).cast("long"))  # a row for each arrival of this call
+    return commit(spark, root, there.unionByName(new) if now else new, now)
 
 
 def plan(shards: DataFrame, *, base: int = BASE, fanout: int = FANOUT, tiers: int = TIERS) -> DataFrame:
-    """Each shard's run after compaction: its columns and run, the first arrival of what it merges into."""
-    now = shards.select("shard", "attempt", "first", "docs", "bytes", F.col("first").alias("run"), F.col("bytes").alias("size"), F.floor(F.col("first") / LANE).alias("lane"))
+    """Each shard's run after compaction: its columns and run, the first sequence number of what it merges into."""
+    now = shards.select("shard", "attempt", "seq", "first", "docs", "bytes", F.col("seq").alias("run"), F.col("bytes").alias("size"), F.floor(F.col("seq") / LANE).alias("lane"))
     for tier in range(tiers):
         low, high = (0 if tier == 0 else base * fanout**tier), base * fanout ** (tier + 1)
-        runs = now.groupBy("lane", "run").agg(F.first("size").alias("size"))
+        runs = now.groupBy("lane", "run").agg(F.max("size").alias("size"))  # a run's shards all have its size
         mine = runs.where((F.col("size") >= low) & (F.col("size") < high))
         order = Window.partitionBy("lane").orderBy("run")
         mine = mine.withColumn("upto", F.sum("size").over(order)).withColumn("bin", F.floor((F.col("upto") - F.col("size")) / high))
@@ -136,7 +141,7 @@ def compact(spark: SparkSession, root: str, **policy) -> int:
     now, attempt = version(spark, root), uuid.uuid4().hex
     shards = manifest(spark, root, now)
     planned = plan(shards, **policy)
-    merged = planned.groupBy(F.floor(F.col("run") / LANE).alias("lane"), "run").agg(F.count(F.lit(1)).alias("parts"), F.min(F.struct("shard", "attempt")).alias("only"), F.sum("docs").alias("docs"), F.sum("bytes").alias("bytes"))
+    merged = planned.groupBy(F.floor(F.col("run") / LANE).alias("lane"), "run").agg(F.count(F.lit(1)).alias("parts"), F.min(F.struct("shard", "attempt")).alias("only"), F.min("first").alias("first"), F.sum("docs").alias("docs"), F.sum("bytes").alias("bytes"))
     alone = F.col("parts") == 1
     merged = merged.withColumn("shard", F.when(alone, F.col("only.shard")).otherwise(F.concat(F.lit(f"v{now + 1}-m"), F.format_string("%012d", F.col("run")))))
     merged = merged.withColumn("attempt", F.when(alone, F.col("only.attempt")).otherwise(attempt))
@@ -146,4 +151,4 @@ def compact(spark: SparkSession, root: str, **policy) -> int:
         sources = moves.select(F.col("_attempt").alias("attempt"))
         rows = join_checked(_data(spark, root, sources), moves, ["_shard", "_attempt"])
         _write(rows.drop("_shard", "_attempt").withColumnRenamed("_first", "_shard"), root, attempt)
-    return commit(spark, root, merged.select("shard", "attempt", F.col("run").alias("first"), "docs", "bytes"), now)
+    return commit(spark, root, merged.select("shard", "attempt", F.col("run").alias("seq"), "first", "docs", "bytes"), now)
