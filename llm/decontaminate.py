@@ -7,7 +7,8 @@ m + 1 - q * (e + 1) of the item's q-grams with it, all on e + 1 adjacent diagona
 (place in the text minus place in the item). Diagonals are grouped in bands of
 twice that width that overlap by half, so one band holds them all: bands with
 too few shared q-grams are dropped, and the rest are aligned by a dynamic
-programme over the band alone.
+programme over the band alone. q is 8, or m / (e + 1) for short items, so that
+the lemma always asks for a shared q-gram; items of each q have an index.
 
 The benchmark's q-gram index is broadcast in blocks of a fixed size, a few
 blocks in each pass over the texts; the texts are not shuffled. A benchmark of
@@ -53,32 +54,42 @@ def fold(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return out, place[offsets], np.flatnonzero(keep)
 
 
-def grams(data: np.ndarray) -> np.ndarray:
+def grams(data: np.ndarray, q: int = Q) -> np.ndarray:
     """The q bytes from each place as one number."""
-    n = max(0, len(data) - Q + 1)
+    n = max(0, len(data) - q + 1)
     out = np.zeros(n, np.uint64)
-    for i in range(Q):
+    for i in range(q):
         out |= data[i : i + n].astype(np.uint64) << A.U64(8 * i)
     return out
 
 
-def budget(m: int, rate: float) -> int:
-    """Edits allowed in an item of m bytes, few enough that the lemma asks for a shared q-gram."""
-    return max(0, min(int(m * rate), m // Q - 1))
+def gram_size(m: int, rate: float) -> int:
+    """The longest q up to 8 for which an item of m bytes with all its edits shares a q-gram."""
+    return min(Q, m // (int(m * rate) + 1))
+
+
+def indexes(items: list[tuple[int, str]], rate: float) -> list[Index]:
+    """An index for each size of q-grams that a block's items need; items without letters and digits have none."""
+    by_size: dict[int, list[tuple[int, str]]] = {}
+    data, offsets, _ = fold(pa.array([t for _, t in items], pa.string()))
+    for item, a, z in zip(items, offsets[:-1], offsets[1:]):
+        if m := len(data[a:z].tobytes().rstrip(b" ")):
+            by_size.setdefault(max(1, gram_size(m, rate)), []).append(item)
+    return [Index(some, rate, q) for q, some in sorted(by_size.items())]
 
 
 class Index:
     """The q-grams of a block of items, sorted, and a table of bits to drop most of a text at once."""
 
-    def __init__(self, items: list[tuple[int, str]], rate: float):
-        self.ids = [i for i, _ in items]
+    def __init__(self, items: list[tuple[int, str]], rate: float, q: int = Q):
+        self.ids, self.q = [i for i, _ in items], q
         data, offsets, _ = fold(pa.array([t for _, t in items], pa.string()))
         self.items = [data[a : z - (z > a and data[z - 1] == 32)] for a, z in zip(offsets[:-1], offsets[1:])]
-        self.edits = np.array([budget(len(x), rate) for x in self.items])
-        self.needed = np.array([len(x) + 1 - Q * (e + 1) for x, e in zip(self.items, self.edits)])
+        self.edits = np.array([int(len(x) * rate) for x in self.items])
+        self.needed = np.array([len(x) + 1 - q * (e + 1) for x, e in zip(self.items, self.edits)])
         # a band is 2 * 2**shift diagonals wide and starts every 2**shift, so it holds any e + 1 of them
         self.shift = np.array([int(e).bit_length() for e in self.edits])
-        parts = [(grams(x), np.full(max(0, len(x) - Q + 1), i), np.arange(max(0, len(x) - Q + 1))) for i, x in enumerate(self.items) if self.needed[i] > 0]
+        parts = [(grams(x, q), np.full(max(0, len(x) - q + 1), i), np.arange(max(0, len(x) - q + 1))) for i, x in enumerate(self.items) if self.needed[i] > 0]
         gram = np.concatenate([p[0] for p in parts]) if parts else np.zeros(0, np.uint64)
         order = np.argsort(gram, kind="stable")
         self.gram = gram[order]
@@ -95,13 +106,13 @@ class Index:
 
     def bands(self, data: np.ndarray, offsets: np.ndarray) -> list[tuple[int, int, int]]:
         """(row, item, first diagonal of the band) of the bands with enough shared q-grams."""
-        gram = grams(data)
+        gram = grams(data, self.q)
         place = np.flatnonzero(self.seen[self.slot(gram)])
         found = np.searchsorted(self.unique, gram[place])
         same = self.unique[np.minimum(found, len(self.unique) - 1)] == gram[place] if len(self.unique) else np.zeros(0, bool)
         place, found = place[same], found[same]
         row = np.searchsorted(offsets, place, "right") - 1
-        inside = place + Q <= offsets[row + 1]
+        inside = place + self.q <= offsets[row + 1]
         place, found, row = place[inside], found[inside], row[inside]
         times = self.first[found + 1] - self.first[found]
         which = np.repeat(self.first[found] - (np.cumsum(times) - times), times) + np.arange(times.sum())
@@ -168,6 +179,11 @@ class Index:
         return out
 
 
+def _place(text: bytes, item: bytes) -> int:
+    """Where the item stands in the text, -1 if nowhere; an item shorter than 8 bytes only as whole words."""
+    return text.find(item) if len(item) >= Q else (b" " + text + b" ").find(b" " + item + b" ")
+
+
 def _hits(index: Index, texts: pa.Array) -> list[list[dict]]:
     """An item that stands in a text unchanged has no edits; the other bands are aligned."""
     out: list[list[dict]] = [[] for _ in range(len(texts))]
@@ -178,10 +194,10 @@ def _hits(index: Index, texts: pa.Array) -> list[list[dict]]:
     for row, i, low in index.bands(data, offsets):
         text = data[offsets[row] : offsets[row + 1]]
         if (row, i) not in looked:
-            looked[row, i] = text.tobytes().find(index.items[i].tobytes())
+            looked[row, i] = _place(text.tobytes(), index.items[i].tobytes())
             if looked[row, i] >= 0:
                 best[row, i] = (0, looked[row, i], looked[row, i] + len(index.items[i]))
-        if looked[row, i] < 0:
+        if looked[row, i] < 0 and len(index.items[i]) >= Q:
             todo.append((text, i, low, row))
     for at in range(0, len(todo), 256):
         part = todo[at : at + 256]
@@ -238,10 +254,10 @@ def contamination(docs: DataFrame, benchmark: DataFrame, *, rate: float = 0.1, t
     """`docs` with a column benchmark_hits of (item_id, start, end, edits), by item.
 
     start and end are places in the folded text; an item counts once in a text,
-    at its best region. Items of fewer than q (8) folded bytes are not searched:
-    so few letters stand in most texts by chance. Items of 8 to 15 bytes have an
-    edit at most, as 10 % and the lemma allow. Null texts have no hits, and a
-    column with the result's name is replaced.
+    at its best region (of equal ones the first to end). Items of fewer than 8
+    folded bytes have no edits and are found as whole words; items without letters
+    and digits are nowhere. Null texts have no hits, texts are searched whole, and
+    a column with the result's name is replaced.
     """
     docs = docs.drop("benchmark_hits").withColumn(text, F.col(text).cast("string"))
     share, none = docs.sparkSession.sparkContext.broadcast, F.expr(f"cast(array() as {HITS})")
@@ -251,12 +267,12 @@ def contamination(docs: DataFrame, benchmark: DataFrame, *, rate: float = 0.1, t
         return docs.withColumn("benchmark_hits", none)
     if second is None:
         fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-        return docs.mapInArrow(_marked(share([Index(b, rate) for b in first]), text), f"{fields}, benchmark_hits {HITS}")
+        return docs.mapInArrow(_marked(share([x for b in first for x in indexes(b, rate)]), text), f"{fields}, benchmark_hits {HITS}")
     key = F.sha2(F.col(text), 256)
     texts = docs.where(F.col(text).isNotNull()).select(key.alias("text_key"), F.col(text).alias("text"))
     found = []
     for blocks in chain([first, second], passes):
-        shared = share([Index(b, rate) for b in blocks])
+        shared = share([x for b in blocks for x in indexes(b, rate)])
         found.append(stored(texts.mapInArrow(_listed(shared), f"text_key string, benchmark_hits {HITS}"), "benchmark-hits"))
         shared.destroy()
     hit = reduce(DataFrame.unionAll, found).select("text_key", F.explode("benchmark_hits").alias("hit"))
