@@ -1,25 +1,27 @@
 """Alignment of two word sequences of a row: edit operations, forced matches, fuzzy anchors and timings.
 
-The sequences of a row are taken in Arrow batches; rows are the unit of work, so
-a long conversation is spread over its turns. Helpers are small and know nothing
-of Spark.
+The sequences of a row are taken in Arrow batches. A row may be a whole recording
+of up to LIMIT words a side: tables of words by words are never held, but every
+sqrt(n)-th of their lines, from which a stretch of lines is made again when it is
+needed. Helpers are small and know nothing of Spark.
 """
 
 from __future__ import annotations
 
-from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from difflib import SequenceMatcher
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from parlance.functions.text import score_tokens
 
 # Fixed values of the anchor rule.
 BACK, LEAST_AHEAD, AHEAD, MORE, FLOOR, SHORT_FLOOR, SHORT = 2, 12, 3, 8, 0.48, 0.86, 2
+#: Words of a side that are aligned at most.
+LIMIT = 65_535
 
 
 def _codes(a: list[str], b: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -27,57 +29,136 @@ def _codes(a: list[str], b: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return np.array([names[w] for w in a], np.int64), np.array([names[w] for w in b], np.int64)
 
 
+def _within_limit(*sides: list[str]) -> None:
+    if max(map(len, sides)) > LIMIT:
+        raise ValueError(f"alignments take {LIMIT} words a side at most")
+
+
+def _stretches(first: np.ndarray, n: int, line: Callable[[int, np.ndarray], np.ndarray]) -> Iterator[tuple[int, list[np.ndarray]]]:
+    """Lines 0 to n of a table, from the last stretch of about sqrt(n) lines to the first: (number of the first line, lines).
+
+    `line` makes line i + 1 from line i; a stretch's lines go up to the first one of the stretch behind it.
+    """
+    size = max(1, int(np.sqrt(n)))
+    kept, now = [first], first
+    for i in range(n - n % size if n % size else n - size):
+        now = line(i, now)
+        if (i + 1) % size == 0:
+            kept.append(now)
+    for k in range(len(kept) - 1, -1, -1):
+        lines = [kept[k]]
+        for i in range(k * size, min(n, (k + 1) * size)):
+            lines.append(line(i, lines[-1]))
+        yield k * size, lines
+        kept[k] = first
+
+
 def edit_operations(reference: list[str], hypothesis: list[str]) -> str:
     """One letter for each step of a least-cost alignment: M, S, I, D.
 
     From the end, a match or substitution is preferred, then a deletion, then an
-    insertion. The table has a byte for each pair of words.
+    insertion. Raises ValueError beyond LIMIT words a side.
     """
+    _within_limit(reference, hypothesis)
     r, h = _codes(reference, hypothesis)
     n, m = len(r), len(h)
-    came = np.zeros((n + 1, m + 1), np.uint8)
-    came[0, 1:] = 2
-    row, steps = np.arange(m + 1, dtype=np.int64), np.arange(m + 1, dtype=np.int64)
-    for i in range(n):
-        diagonal = row[:-1] + (h != r[i])
-        down = row + 1
-        best = np.concatenate((down[:1], np.minimum(diagonal, down[1:])))
-        new = np.minimum.accumulate(best - steps) + steps
-        came[i + 1] = 2
-        came[i + 1][new == down] = 1
-        came[i + 1, 1:][new[1:] == diagonal] = 0
-        row = new
-    out, i, j = [], n, m
-    while i or j:
-        step = came[i, j] if i and j else (1 if i else 2)
-        if step == 0:
-            out.append("M" if r[i - 1] == h[j - 1] else "S")
-            i, j = i - 1, j - 1
-        elif step == 1:
-            out.append("D")
-            i -= 1
-        else:
-            out.append("I")
-            j -= 1
-    return "".join(reversed(out))
+    steps = np.arange(m + 1, dtype=np.int32)
+
+    def line(i: int, row: np.ndarray) -> np.ndarray:
+        best = row + np.int32(1)
+        np.minimum(best[1:], row[:-1] + (h != r[i]), out=best[1:])
+        return np.minimum.accumulate(best - steps) + steps
+
+    out, j = [], m
+    for start, lines in _stretches(steps, n, line):
+        i = min(n, start + len(lines) - 1)
+        while i > start:
+            now, above = lines[i - start], lines[i - start - 1]
+            if j and now[j] == above[j - 1] + (r[i - 1] != h[j - 1]):
+                out.append("M" if r[i - 1] == h[j - 1] else "S")
+                i, j = i - 1, j - 1
+            elif now[j] == above[j] + 1:
+                out.append("D")
+                i -= 1
+            else:
+                out.append("I")
+                j -= 1
+    return "I" * j + "".join(reversed(out))
+
+
+def optimal_matches(a: list[str], b: list[str]) -> tuple[list[tuple[int, int]], np.ndarray, np.ndarray]:
+    """Forced matches, and the places of `a` and of `b` whose word has several optimal matches.
+
+    A match of equal words is optimal at its rank if some longest common
+    subsequence has it there. It is forced if it is the only one of its rank; the
+    words of all matches of other ranks are ambiguous. Raises ValueError beyond
+    LIMIT words a side.
+    """
+    _within_limit(a, b)
+    x, y = _codes(a, b)
+    n, m = len(x), len(y)
+
+    def line(w: int, row: np.ndarray) -> np.ndarray:
+        out = np.zeros(m + 1, np.int32)
+        np.maximum.accumulate(np.maximum(row[1:], row[:-1] + (y == w)), out=out[1:])
+        return out
+
+    def line_back(w: int, row: np.ndarray) -> np.ndarray:
+        out = np.zeros(m + 1, np.int32)
+        np.maximum.accumulate(np.maximum(row[:-1], row[1:] + (y == w))[::-1], out=out[m - 1 :: -1] if m else out[:0])
+        return out
+
+    zero = np.zeros(m + 1, np.int32)
+    total, after = None, zero
+    times = np.zeros(min(n, m) + 1, np.int64)
+    first = np.zeros((min(n, m) + 1, 2), np.int64)
+    unsure_a, unsure_b = np.zeros(n, bool), np.zeros(m, bool)
+    for start, lines in _stretches(zero, n, lambda i, row: line(x[i], row)):
+        total = lines[-1][-1] if total is None else total
+        for i in range(start + len(lines) - 2, start - 1, -1):
+            before = lines[i - start]
+            at = np.flatnonzero((y == x[i]) & (before[:-1] + after[1:] + 1 == total))
+            rank = before[at]
+            fresh, index, counts = np.unique(rank, return_index=True, return_counts=True)
+            many = (times[rank] + counts[np.searchsorted(fresh, rank)]) > 1
+            unsure_b[at[many]] = True
+            unsure_a[i] |= bool(many.any())
+            seen = fresh[times[fresh] == 1]  # the rank's first match is not the only one
+            unsure_a[first[seen, 0]], unsure_b[first[seen, 1]] = True, True
+            new = times[fresh] == 0
+            first[fresh[new], 0], first[fresh[new], 1] = i, at[index[new]]
+            times[fresh] += counts
+            after = line_back(x[i], after)
+    forced = [(int(i), int(j)) for i, j in first[times == 1]]
+    return sorted(forced), unsure_a, unsure_b
 
 
 def forced_matches(a: list[str], b: list[str]) -> list[tuple[int, int]]:
     """Pairs of equal words that every longest common subsequence uses: the only ones at their rank."""
-    x, y = _codes(a, b)
+    return optimal_matches(a, b)[0]
 
-    def table(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-        out = np.zeros((len(x) + 1, len(y) + 1), np.int32)
-        for i, w in enumerate(x):
-            out[i + 1, 1:] = np.maximum.accumulate(np.maximum(out[i, 1:], out[i, :-1] + (y == w)))
-        return out
 
-    before, after = table(x, y), table(x[::-1], y[::-1])[::-1, ::-1]
-    total = before[-1, -1]
-    at = np.argwhere((x[:, None] == y[None, :]) & (before[:-1, :-1] + after[1:, 1:] + 1 == total))
-    rank = before[at[:, 0], at[:, 1]]
-    times = Counter(rank.tolist())
-    return [(int(i), int(j)) for (i, j), k in zip(at, rank.tolist()) if times[k] == 1]
+class EditSteps:
+    """A table function: the steps of the alignment of two word lists, with the places of their words (null where a side has none).
+
+    A null list is an empty one; beyond LIMIT words a side there is one step, `too long`.
+    """
+
+    def eval(self, reference: list, hypothesis: list):
+        try:
+            ops = edit_operations(reference or [], hypothesis or [])
+        except ValueError:
+            yield 0, "too long", None, None
+            return
+        i = j = 0
+        for step, op in enumerate(ops):
+            yield step, op, i if op != "I" else None, j if op != "D" else None
+            i, j = i + (op != "I"), j + (op != "D")
+
+
+def register_edit_steps(spark: SparkSession, name: str = "edit_steps") -> None:
+    """Makes EditSteps a table function of SQL: edit_steps(reference, hypothesis)."""
+    spark.udtf.register(name, F.udtf(EditSteps, returnType="step int, op string, ref_index int, hyp_index int"))
 
 
 def anchor(words: list[str], stream: list[str], cursor: int) -> tuple[int, int, float] | None:
@@ -118,16 +199,77 @@ def operations(pairs: DataFrame, reference: Column, hypothesis: Column) -> DataF
 
 
 def unambiguous(pairs: DataFrame, reference: Column, hypothesis: Column) -> DataFrame:
-    """(key, ref_index, hyp_index) of forced matches; a table of words by words is held for one row at a time."""
+    """(key, ref_index, hyp_index) of forced matches."""
     return _rows(pairs.withColumns({"r": reference, "h": hypothesis}), ["r", "h"], "key string, ref_index int, hyp_index int", forced_matches)
 
 
+def role_matches(references: DataFrame, hypotheses: DataFrame) -> DataFrame:
+    """(session_id, role, kind, ref_index, hyp_index): forced matches of each role's words with all shown words, and ambiguous shown words.
+
+    `references` has session_id, role and words, a row for each role's whole
+    channel; `hypotheses` session_id and words, as they are shown. Ambiguous rows
+    have no ref_index. Sessions beyond LIMIT words a side have one row of kind
+    `too_long` a role and are not aligned.
+    """
+    kind = "key string, kind string, ref_index int, hyp_index int"
+
+    def work(r: list[str], h: list[str]) -> list[tuple]:
+        if max(len(r), len(h)) > LIMIT:
+            return [("too_long", None, None)]
+        forced, _, unsure = optimal_matches(r, h)
+        return [("forced", i, j) for i, j in forced] + [("ambiguous", None, int(j)) for j in np.flatnonzero(unsure)]
+
+    pairs = references.join(hypotheses.withColumnRenamed("words", "h"), "session_id").select(F.to_json(F.struct("session_id", "role")).alias("key"), F.col("words").alias("r"), "h")
+    found = _rows(pairs, ["r", "h"], kind, work)
+    session = references.schema["session_id"].dataType.simpleString()
+    key = F.from_json("key", f"session_id {session}, role string")
+    return found.select(key["session_id"].alias("session_id"), key["role"].alias("role"), "kind", F.col("ref_index").cast("int").alias("ref_index"), F.col("hyp_index").cast("int").alias("hyp_index"))
+
+
 def one_role_matches(matches: DataFrame) -> DataFrame:
     """Matches (session_id, role, hyp_index, ...) whose hypothesis word one role alone claims."""
     roles = matches.groupBy("session_id", "hyp_index").agg(F.count_distinct("role").alias("n")).where("n = 1").select("session_id", "hyp_index")
     return matches.join(roles, ["session_id", "hyp_index"], "left_semi")
 
 
+def one_role_words(matches: DataFrame) -> DataFrame:
+    """(session_id, hyp_index, class, role, ref_index) of shown words that some role's alignment claims (see role_matches).
+
+    A word belongs to the one role that has a forced match for it, if no other
+    role has an ambiguous one: exact_unambiguous. Words that several roles claim
+    are cross_role_ambiguous, the others within_role_ambiguous.
+    """
+    forced, unsure = F.col("kind") == "forced", F.col("kind") == "ambiguous"
+    each = matches.where("hyp_index is not null").groupBy("session_id", "hyp_index").agg(
+        F.collect_set(F.when(forced, F.col("role"))).alias("owners"),
+        F.collect_set(F.when(unsure, F.col("role"))).alias("others"),
+        F.min(F.when(forced, F.col("ref_index"))).alias("ref_index"),
+    )
+    alone = (F.size("owners") == 1) & (F.size(F.array_except("others", "owners")) == 0)
+    shared = (F.size("owners") > 0) | (F.size("others") > 1)
+    kind = F.when(alone, "exact_unambiguous").when(shared, "cross_role_ambiguous").otherwise("within_role_ambiguous")
+    return each.select("session_id", "hyp_index", kind.alias("class"), F.when(alone, F.col("owners")[0]).alias("role"), F.when(alone, F.col("ref_index")).alias("ref_index"))
+
+
+def overlap_ambiguous(references: DataFrame, hypotheses: DataFrame) -> DataFrame:
+    """(session_id, hyp_index): shown words whose identity hangs on the order of words spoken at once.
+
+    `references` has session_id, place, word and overlaps (spoken while another
+    role spoke) in linear order; `hypotheses` session_id and words. A shown word
+    counts if its forced match overlaps, or if it is ambiguous and is a word that
+    some overlapping one has too. Sessions without overlapping words have none.
+    """
+    lined = references.groupBy("session_id").agg(F.array_sort(F.collect_list(F.struct("place", "word"))).alias("w"), F.max("overlaps").alias("any"))
+    lined = lined.where("any").select("session_id", F.lit("").alias("role"), F.transform("w", lambda x: x["word"]).alias("words"))
+    found = role_matches(lined, hypotheses)
+    over = references.where("overlaps").select("session_id", (F.col("place")).cast("int").alias("ref_index"), "word")
+    by_match = found.where("kind = 'forced'").join(over, ["session_id", "ref_index"]).select("session_id", "hyp_index")
+    shown = hypotheses.select("session_id", F.posexplode("words").alias("hyp_index", "word"))
+    unsure = found.where("kind = 'ambiguous'").select("session_id", "hyp_index").join(shown, ["session_id", "hyp_index"])
+    by_word = unsure.join(over.select("session_id", "word").distinct(), ["session_id", "word"]).select("session_id", "hyp_index")
+    return by_match.union(by_word).distinct()
+
+
 def anchors(rows: DataFrame, words: Column, stream: Column, cursor: Column) -> DataFrame:
     """(key, from_word, to_word, ratio) of rows that find an anchor in their stream."""
     kind = "key string, from_word int, to_word int, ratio double"

@@ -32,12 +32,60 @@ def forced(spark, sf):
     return alignment.unambiguous(_adjacent(spark, sf), F.col("was"), F.col("words"))
 
 
+def _heard(spark, sf):
+    """Each session's shown words, as a recogniser might hear them: every eleventh is lost, every seventh is another word."""
+    from pyspark.sql import Window
+
+    at = F.row_number().over(Window.partitionBy("session_id").orderBy("position", "i"))
+    words = timed_words(transcript(spark, sf)).withColumn("at", at).where("at % 11 <> 0").withColumn("word", F.when(F.col("at") % 7 == 0, F.concat(F.lit("x"), F.left("word", F.lit(1)))).otherwise(F.col("word")))
+    return words.groupBy("session_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "word"))), lambda x: x["word"]).alias("words"))
+
+
+def _channels(spark, sf):
+    """Each role's reference words of a whole session."""
+    words = alignment.reference_words(reference(spark, sf).withColumn("session_id", F.struct("session_id", "ref_role")), F.lit(False))
+    words = words.groupBy("session_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("place", "i", "word"))), lambda x: x["word"]).alias("words"))
+    return words.select("session_id.session_id", F.col("session_id.ref_role").alias("role"), "words")
+
+
+@query("og2_edit_steps")
+def edit_steps(spark, sf):
+    """Steps of each role's channel against all shown words, by the table function."""
+    alignment.register_edit_steps(spark)
+    pairs = _channels(spark, sf).join(_heard(spark, sf).withColumnRenamed("words", "heard"), "session_id")
+    steps = spark.sql("SELECT p.session_id, p.role, s.op, s.ref_index, s.hyp_index FROM {pairs} AS p, LATERAL edit_steps(p.words, p.heard) AS s", pairs=pairs)
+    return steps.groupBy("session_id", "role", "op").agg(F.count(F.lit(1)).alias("n"), F.sum("ref_index").alias("ref_places"), F.sum("hyp_index").alias("hyp_places"))
+
+
+@query("og3_role_matches")
+def role_matches(spark, sf):
+    return alignment.role_matches(_channels(spark, sf), _heard(spark, sf))
+
+
 @query("og4_one_role_matches", f"WITH {_R}, {WORDS_SQL}, m AS (SELECT session_id, role, i AS hyp_index, count(*) AS n FROM words GROUP BY ALL), o AS (SELECT session_id, hyp_index FROM m GROUP BY 1, 2 HAVING count(DISTINCT role) = 1) SELECT m.session_id, role, m.hyp_index, n FROM m JOIN o ON m.session_id = o.session_id AND m.hyp_index = o.hyp_index")
-def one_role(spark, sf):
+def one_role_places(spark, sf):
     words = timed_words(transcript(spark, sf)).groupBy("session_id", "role", F.col("i").alias("hyp_index")).agg(F.count(F.lit(1)).alias("n"))
     return alignment.one_role_matches(words)
 
 
+@query("og4_one_role_words")
+def one_role(spark, sf):
+    return alignment.one_role_words(alignment.role_matches(_channels(spark, sf), _heard(spark, sf)))
+
+
+@query("ox_op10_overlap_ambiguous")
+def overlap_ambiguous(spark, sf):
+    """Reference words of both roles in one line; a row overlaps if it starts before the one in front of it ends."""
+    from pyspark.sql import Window
+
+    refs = reference(spark, sf)
+    order = Window.partitionBy("session_id").orderBy("ref_start", "ref_end", "ref_role", "ordinal")
+    overlaps = F.coalesce(F.col("ref_start") < F.lag("ref_end").over(order), F.lit(False))
+    words = alignment.reference_words(refs.withColumn("overlaps", overlaps), F.col("overlaps"))
+    place = F.row_number().over(Window.partitionBy("session_id").orderBy("place", "i")) - 1
+    return alignment.overlap_ambiguous(words.select("session_id", place.alias("place"), "word", F.col("ambiguous").alias("overlaps")), _heard(spark, sf))
+
+
 @query("og5_reference_words", f"WITH {_R}, p AS (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY ref_start, ref_end, ref_role, ordinal) - 1 AS place, regexp_extract_all(lower(ref_text), '[a-z'']+') AS ws FROM refs) SELECT session_id, place, ordinal % 2 = 0 AS ambiguous, j - 1 AS i, ws[j] AS word FROM (SELECT *, unnest(range(1, len(ws) + 1)) AS j FROM p)")
 def reference_words(spark, sf):
     return alignment.reference_words(reference(spark, sf), F.col("ordinal") % 2 == 0)

@@ -49,6 +49,60 @@ def test_forced_matches_are_in_every_longest_common_subsequence():
                 break
         want = set.intersection(*every) if best else set()
         assert set(alignment.forced_matches(a, b)) == want
+        at = {}
+        for one in [s for s in every if len(s) == best]:
+            for rank, pair in enumerate(sorted(one)):
+                at.setdefault(rank, set()).add(pair)
+        unsure = [p for ps in at.values() if len(ps) > 1 for p in ps]
+        _, left, right = alignment.optimal_matches(a, b)
+        assert {i for i, x in enumerate(left) if x} == {i for i, _ in unsure} and {j for j, x in enumerate(right) if x} == {j for _, j in unsure}
+
+
+def test_whole_recordings_stay_in_little_memory():
+    import tracemalloc
+
+    rng = random.Random(9)
+    a = [f"w{rng.randrange(4000)}" for _ in range(12_000)]
+    b = [w for i, w in enumerate(a) if i % 11] + ["end"]
+    tracemalloc.start()
+    forced = alignment.forced_matches(a, b)
+    ops = alignment.edit_operations(a, b)
+    assert tracemalloc.get_traced_memory()[1] < 120 << 20
+    tracemalloc.stop()
+    assert ops.count("M") == len(b) - 1 and ops.count("D") == len(a) - len(b) + 1 and ops.count("I") == 1
+    assert len(forced) > 0.9 * len(b) and all(a[i] == b[j] for i, j in forced)
+    for f in (alignment.forced_matches, alignment.edit_operations):
+        try:
+            f(["a"] * 65_536, ["a"])
+        except ValueError:
+            continue
+        raise AssertionError("longer sides are refused")
+
+
+def test_edit_steps_as_a_table_function(spark):
+    alignment.register_edit_steps(spark)
+    pairs = spark.createDataFrame([(1, ["a", "b", "c"], ["a", "x", "c", "d"]), (2, None, ["a"]), (3, [], [])], "id long, r array<string>, h array<string>")
+    got = spark.sql("SELECT p.id, s.* FROM {pairs} AS p, LATERAL edit_steps(p.r, p.h) AS s", pairs=pairs).collect()
+    assert sorted(tuple(r) for r in got) == [(1, 0, "M", 0, 0), (1, 1, "S", 1, 1), (1, 2, "M", 2, 2), (1, 3, "I", None, 3), (2, 0, "I", None, 0)]
+
+
+def test_words_of_one_role(spark):
+    refs = spark.createDataFrame([(1, "DOCTOR", "how are you today".split()), (1, "PATIENT", "you are well well".split()), (2, "DOCTOR", [])], "session_id long, role string, words array<string>")
+    shown = spark.createDataFrame([(1, "how are well today zebra".split()), (2, ["a"])], "session_id long, words array<string>")
+    found = alignment.role_matches(refs, shown)
+    assert {tuple(r) for r in found.collect()} == {(1, "DOCTOR", "forced", 0, 0), (1, "DOCTOR", "forced", 1, 1), (1, "DOCTOR", "forced", 3, 3), (1, "PATIENT", "forced", 1, 1), (1, "PATIENT", "ambiguous", None, 2)}
+    got = {(r.hyp_index, r["class"], r.role, r.ref_index) for r in alignment.one_role_words(found).collect()}
+    assert got == {(0, "exact_unambiguous", "DOCTOR", 0), (1, "cross_role_ambiguous", None, None), (2, "within_role_ambiguous", None, None), (3, "exact_unambiguous", "DOCTOR", 3)}
+
+
+def test_overlap_ambiguous_words(spark):
+    line = [("good", False), ("so", True), ("yes", True), ("then", False), ("so", False)]
+    refs = spark.createDataFrame([(1, i, w, o) for i, (w, o) in enumerate(line)] + [(2, 0, "good", False)], "session_id long, place int, word string, overlaps boolean")
+    shown = spark.createDataFrame([(1, "good yes so".split()), (2, ["good"])], "session_id long, words array<string>")
+    # `yes` and `so` each match in an order of their own: good+yes+so(4) is the longest, all forced; only `yes` overlaps
+    assert [tuple(r) for r in alignment.overlap_ambiguous(refs, shown).collect()] == [(1, 1)]
+    shown = spark.createDataFrame([(1, ["good", "so"])], "session_id long, words array<string>")
+    assert [tuple(r) for r in alignment.overlap_ambiguous(refs, shown).collect()] == [(1, 1)]
 
 
 def test_anchor_takes_the_most_similar_window():
