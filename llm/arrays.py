@@ -7,6 +7,7 @@ or windows of a few megabytes of text are hashed by a handful of array steps.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -15,11 +16,12 @@ import pyarrow.compute as pc
 
 U64 = np.uint64
 #: Bytes of text handled at once; a task needs about 60 times as much memory.
-CHUNK_BYTES = 2 << 20
+CHUNK_BYTES = 1 << 20
 #: Bytes that end a word: space and 0x09-0x0D.
 SPACES = np.zeros(256, bool)
 SPACES[[0x20, 9, 10, 11, 12, 13]] = True
 BASES = (0x9E3779B97F4A7C15, 0xD1342543DE82EF95, 0xA0761D6478BD642F)
+_trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
 _powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 
@@ -72,7 +74,11 @@ def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 def chunks(batches: Iterator[pa.RecordBatch], column: str, limit: int = CHUNK_BYTES) -> Iterator[pa.RecordBatch]:
-    """Slices of about `limit` bytes of text; a longer text is a slice of its own."""
+    """Slices of about `limit` bytes of text; a longer text is a slice of its own.
+
+    At the end the worker gives back memory that it holds but doesn't use: workers
+    live on, and an executor's limit is for all of them.
+    """
     for batch in batches:
         if not batch.num_rows:
             continue
@@ -83,6 +89,9 @@ def chunks(batches: Iterator[pa.RecordBatch], column: str, limit: int = CHUNK_BY
             to = max(at + 1, int(np.searchsorted(ends, base + limit, "right")))
             yield batch.slice(at, to - at)
             at = to
+    pa.default_memory_pool().release_unused()
+    if _trim:
+        _trim(0)
 
 
 def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

@@ -385,21 +385,24 @@ def _banded(rows: DataFrame, prefix: str, num: int, den: int) -> DataFrame:
     rows = rows.withColumn("own", own).withColumn("other", F.explode(bands))
     rows = rows.where((num + den) * (1 + F.col("n") - F.col("at")) >= num * (F.col("n") + least))
     low, high = ("own", "other") if prefix == "x" else ("other", "own")
-    return rows.select("s", F.col(low).alias("low"), F.col(high).alias("high"), *_side(prefix))
+    return rows.select("s", "turn", F.col(low).alias("low"), F.col(high).alias("high"), *_side(prefix))
 
 
-def _in_bands(left: DataFrame, right: DataFrame, num: int, den: int) -> DataFrame:
-    """Pairs (a, b) of an entry of `left` and one of `right` that share a shingle early enough, in different components."""
+def _in_bands(shared: DataFrame, num: int, den: int) -> DataFrame:
+    """Pairs (a, b) of entries that share a shingle early enough, in different components, one of them not the shingle's major one.
+
+    Minor entries meet all as the smaller set (turn 0), and are met by major ones
+    as the larger (turn 1); so entries of one large component don't meet.
+    """
     close = _least_distance([F.col(f"x_{x}") for x in _LANE_NAMES], [F.col(f"y_{x}") for x in _LANE_NAMES]) <= DISTANCE
     # if this is the first shingle that both have, they share it and what follows at most
     able = (num + den) * (1 + F.least(F.col("x_n") - F.col("x_at"), F.col("y_n") - F.col("y_at"))) >= num * (F.col("x_n") + F.col("y_n"))
-    out = None
-    for small, large in ((left, right), (right, left)):
-        pairs = _banded(small, "x", num, den).join(_banded(large, "y", num, den).hint("merge"), ["s", "low", "high"])
-        pairs = pairs.where((F.col("x_n") <= F.col("y_n")) & (F.col("x_c") != F.col("y_c")) & able & close)
-        pairs = pairs.select(F.least("x_id", "y_id").alias("a"), F.greatest("x_id", "y_id").alias("b")).distinct()
-        out = pairs if out is None else out.union(pairs)
-    return out
+    smaller = _banded(shared.withColumn("turn", F.when(F.col("minor"), 0).otherwise(1)), "x", num, den)
+    turns = F.when(F.col("minor"), F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))
+    larger = _banded(shared.withColumn("turn", F.explode(turns)), "y", num, den)
+    pairs = smaller.join(larger.hint("merge"), ["s", "low", "high", "turn"])
+    pairs = pairs.where((F.col("x_n") <= F.col("y_n")) & (F.col("x_c") != F.col("y_c")) & able & close)
+    return pairs.select(F.least("x_id", "y_id").alias("a"), F.greatest("x_id", "y_id").alias("b")).distinct()
 
 
 def _across(docs: DataFrame, prefixes: DataFrame, tested: DataFrame, labels: DataFrame, n: int, num: int, den: int) -> DataFrame:
@@ -419,8 +422,7 @@ def _across(docs: DataFrame, prefixes: DataFrame, tested: DataFrame, labels: Dat
     shares = small.groupBy("s", "c").agg(F.count(F.lit(1)).alias("times"))
     major = stored(shares.groupBy("s").agg(F.max_by("c", F.struct("times", "c")).alias("major"), F.count(F.lit(1)).alias("kinds")).where("kinds > 1").select("s", "major"), "near-major")
     shared = stored(small.join(major.hint("merge"), "s").withColumn("minor", F.col("c") != F.col("major")).drop("major"), "near-shared")
-    found = _in_bands(shared.where("minor"), shared, num, den).union(_in_bands(shared.where("not minor"), shared.where("minor"), num, den))
-    found = found.distinct().join(tested, ["a", "b"], "left_anti")
+    found = _in_bands(shared, num, den).join(tested, ["a", "b"], "left_anti")
     links = links.union(_links(docs, stored(found, "pairs-more"), n, num, den))
     return components(labels.select(F.col("id").alias("a"), F.col("component").alias("b")).union(links))
 
