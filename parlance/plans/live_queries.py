@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from parlance.operators import live
+from parlance.operators import release as R
 from parlance.plans.registry import query
 from parlance.sources.adapt import LOGS_SQL, ROWS_SQL, WORDS_SQL, log_events, table, timed_words, transcript
 
@@ -72,6 +73,23 @@ def revised(spark, sf):
     return rows.select("session_id", "position", live.revisions(F.col("was"), F.col("now"), live.MUTABLE_WORDS).alias("r")).select("session_id", "position", "r.*")
 
 
+@query("od5_live_release")
+def live_release(spark, sf):
+    """Each row is a step of its speaker's slot: its words, and the last two before them in other words; a step's clock is the row's end."""
+    from pyspark.sql import Window
+
+    words = timed_words(transcript(spark, sf)).groupBy("session_id", "position", F.col("speaker_id").alias("slot")).agg(F.array_sort(F.collect_list(F.struct("i", "word", "w_start", "w_end"))).alias("w"))
+    slot, session = Window.partitionBy("session_id", "slot").orderBy("position"), Window.partitionBy("session_id")
+    none = F.array().cast(words.schema["w"].dataType)
+    heard = words.withColumns({"before": F.coalesce(F.sum(F.size("w")).over(slot.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)), "was": F.coalesce(F.lag("w").over(slot), none), "last": F.max("position").over(session)})
+    heard = heard.withColumn("was", F.when(F.size("was") >= 2, F.slice("was", -2, 2)).otherwise(none))
+    word = lambda text, w: F.struct(text.alias("text"), w["w_start"].alias("start_ms"), w["w_end"].alias("end_ms"), (w["i"] % 10 / 10).alias("confidence"))
+    spoken = F.concat(F.transform("was", lambda w: word(F.concat(w["word"], F.lit("s")), w)), F.transform("w", lambda w: word(w["word"], w)))
+    clock = F.array_max(F.transform("w", lambda w: w["w_end"]))
+    steps = heard.select("session_id", "position", clock.alias("clock_ms"), "slot", (F.col("before") - F.size("was")).cast("int").alias("first"), spoken.alias("words"), (F.col("position") == F.col("last")).alias("final"))
+    return R.released(steps, max_hold=30_000)
+
+
 @query("od8_wall_clock", f"WITH {_R}, v AS (SELECT session_id, start_ms, end_ms - start_ms AS len, CAST(coalesce(sum(end_ms - start_ms) OVER (PARTITION BY session_id ORDER BY start_ms, position ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS low FROM rows WHERE end_ms > start_ms), t AS (SELECT *, unnest(range((low + 799) // 800, (low + len + 799) // 800 + 1)) * 800 AS voiced_ms FROM v) SELECT session_id, voiced_ms, start_ms + voiced_ms - low AS at_ms FROM t WHERE voiced_ms < low + len")
 def wall(spark, sf):
     return live.wall_clock(transcript(spark, sf), 800)
