@@ -143,21 +143,21 @@ _STORED = f"{_R} SELECT session_id, position, text FROM rows"
 
 def _store(spark, sf):
     path = folder(spark, "store")
-    sinks.create(transcript(spark, sf).select("session_id", "position", "text"), path, 8)
+    sinks.create(transcript(spark, sf).select("session_id", "position", "text"), path)
     return path
 
 
 @query("ob1_appended_rows", f"{_R}, n AS (SELECT session_id, max(position) AS last_ FROM rows GROUP BY 1) SELECT session_id, position, text FROM rows UNION ALL SELECT session_id, CAST(last_ + row_number() OVER (PARTITION BY session_id ORDER BY position) AS INT), role FROM rows JOIN n USING (session_id) WHERE session_id % 10 = 3")
 def appended(spark, sf):
     path = _store(spark, sf)
-    sinks.append_rows(spark, path, transcript(spark, sf).where("session_id % 10 = 3").select("session_id", "position", F.col("role").alias("text")), 8)
+    sinks.append_rows(spark, path, transcript(spark, sf).where("session_id % 10 = 3").select("session_id", "position", F.col("role").alias("text")))
     return sinks.stored(spark, path)
 
 
 @query("ob2_replaced_sessions", f"{_STORED} WHERE session_id % 10 <> 3 UNION ALL SELECT session_id, CAST(row_number() OVER (PARTITION BY session_id ORDER BY position) - 1 AS INT), role FROM rows WHERE session_id % 10 = 3 AND role <> 'DOCTOR'")
 def replaced(spark, sf):
     path = _store(spark, sf)
-    sinks.replace_sessions(spark, path, transcript(spark, sf).where("session_id % 10 = 3 and role <> 'DOCTOR'").select("session_id", "position", F.col("role").alias("text")), 8)
+    sinks.replace_sessions(spark, path, transcript(spark, sf).where("session_id % 10 = 3 and role <> 'DOCTOR'").select("session_id", "position", F.col("role").alias("text")))
     return sinks.stored(spark, path)
 
 
@@ -199,5 +199,5 @@ def diagnostics(spark, sf):
 @query("ob9_deleted_sessions", f"{_STORED} WHERE session_id % 10 <> 3")
 def deleted(spark, sf):
     path = _store(spark, sf)
-    sinks.delete_sessions(spark, path, transcript(spark, sf).where("session_id % 10 = 3"), 8)
+    sinks.delete_sessions(spark, path, transcript(spark, sf).where("session_id % 10 = 3"))
     return sinks.stored(spark, path)
