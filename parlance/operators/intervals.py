@@ -141,11 +141,3 @@ def stitch_rows(rows: DataFrame, gap_ms: int = 2000) -> DataFrame:
     marked = rows.withColumn("_new", F.when(F.coalesce(joined, F.lit(False)), 0).otherwise(1)).withColumn("_run", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
     parts = F.transform(F.array_sort(F.collect_list(F.struct("position", "text"))), lambda x: x["text"])
     return marked.groupBy("session_id", "_run").agg(F.min("position").alias("first_position"), F.first("role").alias("role"), F.min("start_ms").alias("start_ms"), F.max("end_ms").alias("end_ms"), F.count(F.lit(1)).alias("n_rows"), F.array_join(parts, " ").alias("text")).drop("_run")
-
-
-def flow(rows: DataFrame, gap_ms: int = 3000, overlap_ms: int = 150) -> DataFrame:
-    """Rows with the gap before them and flow: gap, overlap or null, by the row before in the session."""
-    w = Window.partitionBy("session_id").orderBy("position")
-    gap = F.col("start_ms") - F.lag("end_ms").over(w)
-    named = F.when(gap > gap_ms, "gap").when(-gap > overlap_ms, "overlap")
-    return rows.select("session_id", "segment_id", gap.alias("gap_ms"), named.alias("flow"))

@@ -46,12 +46,6 @@ def cue_count(text: Column, cues: list[str]) -> Column:
     return F.size(F.filter(F.array(*map(F.lit, cues)), lambda c: F.contains(low, c)))
 
 
-def first_cue_role(text: Column, cues: dict[str, list[str]]) -> Column:
-    """The role whose cue comes first in the text (a tie: the role named first); null without a cue."""
-    at = [F.struct(F.instr(F.lower(text), c).alias("at"), F.lit(i).alias("i"), F.lit(role).alias("role")) for i, (role, cs) in enumerate(cues.items()) for c in cs]
-    return F.array_min(F.filter(F.array(*at), lambda x: x["at"] > 0))["role"]
-
-
 def row_exception(own: Column, other: Column, n_words: Column) -> Column:
     """keep, uncertain or flip: five words and two cues of the other role flip, cues of both are uncertain."""
     return F.when((other > 0) & (own > 0), "uncertain").when((n_words >= 5) & (other >= 2), "flip").otherwise("keep")

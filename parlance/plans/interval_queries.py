@@ -124,7 +124,10 @@ def attribution_accuracy(spark, sf):
     return attribution.accuracy(transcript(spark, sf), reference(spark, sf))
 
 
-@query("of7_strict_attribution", f"WITH {ROWS_SQL}, {_BEST} SELECT session_id, count(expected_role) AS scored, count(*) FILTER (role = expected_role) AS correct, count(*) FILTER (expected_role IS NOT NULL AND role IN ('DOCTOR', 'PATIENT') AND role <> expected_role) AS wrong, count(*) FILTER (expected_role IS NOT NULL AND role NOT IN ('DOCTOR', 'PATIENT')) AS uncertain, count(*) FILTER (expected_role IS NULL) AS unscored, round(count(*) FILTER (role = expected_role) / nullif(count(expected_role), 0), 6) AS strict_accuracy, round(count(*) FILTER (role = expected_role) / nullif(count(*) FILTER (expected_role IS NOT NULL AND role IN ('DOCTOR', 'PATIENT')), 0), 6) AS confident_accuracy, round(count(*) FILTER (expected_role IS NOT NULL AND role NOT IN ('DOCTOR', 'PATIENT')) / nullif(count(expected_role), 0), 6) AS uncertain_rate FROM judged GROUP BY session_id")
+_STRICT = "SELECT session_id, count(expected_role) AS scored, count(*) FILTER (role = expected_role) AS correct, count(*) FILTER (expected_role IS NOT NULL AND role IN ('DOCTOR', 'PATIENT') AND role <> expected_role) AS wrong, count(*) FILTER (expected_role IS NOT NULL AND role NOT IN ('DOCTOR', 'PATIENT')) AS uncertain, count(*) FILTER (expected_role IS NULL) AS unscored, round(count(*) FILTER (role = expected_role) / nullif(count(expected_role), 0), 6) AS strict_accuracy, round(count(*) FILTER (role = expected_role) / nullif(count(*) FILTER (expected_role IS NOT NULL AND role IN ('DOCTOR', 'PATIENT')), 0), 6) AS confident_accuracy, round(count(*) FILTER (expected_role IS NOT NULL AND role NOT IN ('DOCTOR', 'PATIENT')) / nullif(count(expected_role), 0), 6) AS uncertain_rate FROM judged GROUP BY session_id"
+
+
+@query("of7_strict_attribution", f"WITH {ROWS_SQL}, {_BEST} {_STRICT}")
 def strict(spark, sf):
     return attribution.strict(intervals.expected_roles(transcript(spark, sf), reference(spark, sf)))
 
@@ -186,7 +189,7 @@ def orphans(spark, sf):
 
 
 
-@query("entry_attribution_report", None)
+@query("entry_attribution_report", f"WITH {ROWS_SQL}, {_BEST}, {_TALK}, strict AS ({_STRICT}), spoken AS (SELECT session_id, CAST(sum(end_ms - start_ms) AS BIGINT) AS cross_talk_ms FROM talk GROUP BY 1) SELECT strict.*, cross_talk_ms FROM strict LEFT JOIN spoken USING (session_id)")
 def report(spark, sf):
     judged = intervals.expected_roles(transcript(spark, sf), reference(spark, sf))
     return attribution.strict(judged).join(intervals.cross_talk(reference(spark, sf)).groupBy("session_id").agg(F.sum(F.col("end_ms") - F.col("start_ms")).alias("cross_talk_ms")), "session_id", "left").orderBy("session_id")
