@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from parlance.functions.text import score_tokens
-from parlance.operators import alignment, intervals, sequences
+from parlance.operators import alignment, anchoring, intervals, sequences
 from parlance.plans.interval_queries import _BEST
 from parlance.plans.registry import query
 from parlance.sources.adapt import ROWS_SQL, WORDS_SQL, reference, timed_words, transcript
@@ -121,6 +121,13 @@ def allocated(spark, sf):
     return alignment.allocated(rows.select("session_id", "position", "own"), found, rows.select("session_id", "total").distinct())
 
 
+@query("og10_cursor_runs")
+def cursor_runs(spark, sf):
+    """All rows of a session, with their whole texts, against its words as they are heard."""
+    words = _heard(spark, sf).select("session_id", F.posexplode("words").alias("at", "word"))
+    return anchoring.allocation(transcript(spark, sf), words)
+
+
 @query("og13_phrase_occurrences", f"""WITH {_R}, {WORDS_SQL}, l AS (SELECT session_id, position, word, row_number() OVER w - 1 AS "at", lead(word) OVER w AS w2, lead(position) OVER w AS p2 FROM words WINDOW w AS (PARTITION BY session_id ORDER BY position, i)) SELECT session_id, "at", position AS first_row, p2 AS last_row FROM l WHERE word = 'de' AND w2 = 'la' OR word = 'in' AND w2 = 'die'""")
 def occurrences(spark, sf):
     words = timed_words(transcript(spark, sf)).select("session_id", "position", "i", "word")
