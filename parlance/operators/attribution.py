@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from parlance.functions.text import rate
-from parlance.operators import intervals
+from parlance.operators import intervals, notes
 
 #: The roles that can be right; any other label is uncertain.
 ROLES = ("DOCTOR", "PATIENT")
@@ -137,3 +137,33 @@ def orphan_speakers(mapped: DataFrame) -> DataFrame:
     """Speakers who share their mapped role with one that has more rows."""
     by = mapped.groupBy("session_id", "speaker_id", "mapped_role").agg(F.count(F.lit(1)).alias("n_rows"))
     return by.withColumn("_top", F.max("n_rows").over(Window.partitionBy("session_id", "mapped_role"))).where("n_rows < _top").drop("_top")
+
+
+def scored_folds(windows: DataFrame, rows: DataFrame, refs: DataFrame) -> DataFrame:
+    """Folded spans with what they should and do show: session_id, origin, visible, start_ms, end_ms, window, n_words, expected_role, visible_roles, class, state.
+
+    `windows` has session_id, window and spans, an array of (origin, visible,
+    start_ms, end_ms, n_words); of spans that windows repeat, the last window's
+    counts. The expected role is the reference's with the most overlap; visible
+    roles are those, DOCTOR or PATIENT, of the visible speaker's rows that overlap
+    the span. Spans without length overlap nothing; null and empty arrays have none.
+    """
+    key = ["session_id", "origin", "visible", "start_ms", "end_ms"]
+    spans = windows.select("session_id", "window", F.explode("spans").alias("s")).select("session_id", "window", "s.*")
+    last = spans.groupBy(*key).agg(F.max_by(F.struct("window", "n_words"), F.struct("window", "n_words")).alias("w")).select(*key, "w.*")
+    last = last.withColumn("segment_id", F.concat_ws("|", *key))
+    judged = intervals.expected_roles(last, refs)
+    shown = rows.where(F.col("role").isin(*ROLES)).select("session_id", F.col("speaker_id").alias("visible"), "role", F.col("start_ms").alias("r_start"), F.col("end_ms").alias("r_end"))
+    met = intervals.overlap_join(last, shown, ["session_id", "visible"], "start_ms", "end_ms", "r_start", "r_end")
+    roles = met.groupBy("session_id", "segment_id").agg(F.array_sort(F.collect_set("role")).alias("visible_roles"))
+    both = judged.join(roles, ["session_id", "segment_id"], "left").withColumn("visible_roles", F.coalesce("visible_roles", F.array().cast("array<string>")))
+    kind = notes.fold_class(F.col("expected_role"), F.col("visible_roles")), notes.attribution_state(F.col("expected_role"), F.col("visible_roles"))
+    return both.select(*key, "window", "n_words", "expected_role", "visible_roles", kind[0].alias("class"), kind[1].alias("state"))
+
+
+def fold_changes(baseline: DataFrame, candidate: DataFrame) -> DataFrame:
+    """(session_id, change, n, newly_wrong): how spans that both runs have (see scored_folds) changed state, and how many became confidently wrong."""
+    key = ["session_id", "origin", "visible", "start_ms", "end_ms"]
+    both = baseline.select(*key, F.col("state").alias("was")).join(candidate.select(*key, F.col("state").alias("now")), key)
+    change = notes.state_change(F.col("was"), F.col("now"))
+    return both.groupBy("session_id", change.alias("change")).agg(F.count(F.lit(1)).alias("n"), F.count_if((F.col("now") == "wrong") & (F.col("was") != "wrong")).alias("newly_wrong"))

@@ -193,3 +193,33 @@ def orphans(spark, sf):
 def report(spark, sf):
     judged = intervals.expected_roles(transcript(spark, sf), reference(spark, sf))
     return attribution.strict(judged).join(intervals.cross_talk(reference(spark, sf)).groupBy("session_id").agg(F.sum(F.col("end_ms") - F.col("start_ms")).alias("cross_talk_ms")), "session_id", "left").orderBy("session_id")
+
+
+_FOLDS = f"""spans AS (SELECT session_id, position // 2 AS window_, speaker_id AS origin, 'spk_' || ((position + 1) % 3) AS visible, start_ms, (start_ms + end_ms) // 2 AS end_ms, position AS n_words FROM rows
+  UNION ALL SELECT session_id, position // 2 + 1, speaker_id, 'spk_' || ((position + 1) % 3), start_ms, (start_ms + end_ms) // 2, position + 100 FROM rows WHERE position % 2 = 0),
+last_ AS (SELECT session_id, origin, visible, start_ms, end_ms, max(window_ * 1000 + n_words) AS w FROM spans GROUP BY ALL),
+owed AS (SELECT l.session_id, l.origin, l.visible, l.start_ms, l.end_ms, ref_role, sum(least(l.end_ms, ref_end) - greatest(l.start_ms, ref_start)) AS ov FROM last_ l JOIN refs r ON r.session_id = l.session_id AND l.start_ms < ref_end AND ref_start < l.end_ms GROUP BY ALL),
+top AS (SELECT session_id, origin, visible, start_ms, end_ms, CASE WHEN count(*) = 1 THEN min(ref_role) END AS expected_role FROM (SELECT *, max(ov) OVER (PARTITION BY session_id, origin, visible, start_ms, end_ms) AS best FROM owed) WHERE ov = best GROUP BY ALL),
+seen AS (SELECT l.session_id, l.origin, l.visible, l.start_ms, l.end_ms, list_sort(list(DISTINCT r.role)) AS roles FROM last_ l JOIN rows r ON r.session_id = l.session_id AND r.speaker_id = l.visible AND r.role IN ('DOCTOR', 'PATIENT') AND l.start_ms < r.end_ms AND r.start_ms < l.end_ms GROUP BY ALL)"""
+
+
+def _fold_windows(spark, sf):
+    """Each row's first half as a span of its window, folded into the next speaker; every second one is told again by the next window."""
+    p, c = F.col("position"), F.col
+    span = lambda extra: F.struct(c("speaker_id").alias("origin"), F.concat(F.lit("spk_"), (p + 1) % 3).alias("visible"), c("start_ms"), F.expr("(start_ms + end_ms) div 2").alias("end_ms"), (p + extra).cast("long").alias("n_words"))
+    rows = transcript(spark, sf)
+    first = rows.select("session_id", F.expr("position div 2").alias("window"), span(0).alias("s"))
+    again = rows.where(p % 2 == 0).select("session_id", F.expr("position div 2 + 1").alias("window"), span(100).alias("s"))
+    return first.unionByName(again).groupBy("session_id", "window").agg(F.collect_list("s").alias("spans"))
+
+
+@query(
+    "ox_op6_scored_folds",
+    f"""WITH {ROWS_SQL}, {_FOLDS} SELECT session_id, origin, visible, start_ms, end_ms, w // 1000 AS "window", w % 1000 AS n_words, expected_role, array_to_string(coalesce(roles, []), ',') AS visible_roles,
+  CASE WHEN expected_role IS NULL OR roles IS NULL THEN 'unresolved_fold' WHEN list_contains(roles, expected_role) THEN 'benign_same_role_fold' ELSE 'harmful_cross_speaker_fold' END AS class,
+  CASE WHEN expected_role IS NULL OR roles IS NULL OR len(roles) <> 1 THEN 'unresolved' WHEN list_contains(roles, expected_role) THEN 'correct' ELSE 'wrong' END AS state
+FROM last_ LEFT JOIN top USING (session_id, origin, visible, start_ms, end_ms) LEFT JOIN seen USING (session_id, origin, visible, start_ms, end_ms)""",
+)
+def scored_folds(spark, sf):
+    found = attribution.scored_folds(_fold_windows(spark, sf), transcript(spark, sf), reference(spark, sf))
+    return found.withColumn("visible_roles", F.array_join("visible_roles", ","))
