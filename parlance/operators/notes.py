@@ -334,6 +334,19 @@ def low_confidence(claims: DataFrame, cited: DataFrame, least: int = 2) -> DataF
     return found.select("claim_id", "measured", "low", (2 * F.col("low") > F.col("measured")).alias("review"))
 
 
+def review_reasons(claims: DataFrame, cited: DataFrame, variants: list[str], least: int = 2) -> DataFrame:
+    """(claim_id, terms, segment_ids): claims for review (see low_confidence) that have a known variant of a term, and the rows to listen to.
+
+    Rows to listen to are the relevant ones below the threshold, in order of
+    their ids; a row that is cited twice counts once.
+    """
+    words = lambda c: F.array_distinct(score_tokens(F.col(c)))
+    flagged = claims.join(low_confidence(claims, cited, least).where("review").select("claim_id"), "claim_id")
+    flagged = flagged.withColumn("terms", F.array_sort(F.array_intersect(words("claim"), F.array(*map(F.lit, variants))))).where(F.size("terms") > 0)
+    rows = flagged.join(cited, "claim_id").where((F.col("confidence") < REVIEW_BELOW) & (F.size(F.array_intersect(words("claim"), words("text"))) >= least))
+    return rows.groupBy("claim_id", "terms").agg(F.array_sort(F.collect_set("cited")).alias("segment_ids"))
+
+
 def grounding(claims: DataFrame, rows: DataFrame, citations: DataFrame) -> DataFrame:
     """(session_id, claim_id, outcome, unresolved): supported, miscited or unsupported claims (role, quote), and citations of nothing.
 

@@ -361,3 +361,18 @@ def preservation(spark, sf):
     role = F.when(F.col("position") % 4 == 2, "doctor").when(F.col("position") % 4 == 1, F.col("role"))
     speaker = F.when(F.col("position") % 5 == 3, "other").otherwise(F.col("speaker_id"))
     return rows.select("segment_id", F.array_join(notes.preservation_defects(F.col("text"), F.col("role"), F.col("speaker_id"), source, role, speaker), ",").alias("defects"))
+
+
+@query(
+    "ox_op27_review_reasons",
+    f"""WITH {_R}, {_CITED}, w AS (SELECT segment_id, list_distinct(regexp_extract_all(lower(text), '[a-z'']+')) AS ws FROM rows),
+b AS (SELECT c.claim_id, c.cited, w.ws, (c.position * 37 + c.session_id * 11) % 100 AS conf FROM cited c JOIN w ON w.segment_id = c.claim_id WHERE len(list_intersect(w.ws, list_distinct(regexp_extract_all(lower(c.text), '[a-z'']+')))) >= 2),
+f AS (SELECT claim_id FROM b GROUP BY 1 HAVING 2 * count(*) FILTER (conf < 78) > count(*))
+SELECT claim_id, array_to_string(list_sort(list_intersect(any_value(ws), ['sch', 'une', 'ing', 'ción', 'the', 'una', 'ung'])), ',') AS terms, string_agg(DISTINCT cited, ',' ORDER BY cited) AS segment_ids
+FROM b JOIN f USING (claim_id) WHERE conf < 78 GROUP BY claim_id HAVING len(list_intersect(any_value(ws), ['sch', 'une', 'ing', 'ción', 'the', 'una', 'ung'])) > 0""",
+)
+def review_reasons(spark, sf):
+    rows = transcript(spark, sf)
+    claims = rows.where("role = 'DOCTOR'").select(F.col("segment_id").alias("claim_id"), F.col("text").alias("claim"))
+    found = notes.review_reasons(claims, _cited(rows).withColumn("confidence", F.expr("(position * 37 + session_id * 11) % 100")), ["sch", "une", "ing", "ción", "the", "una", "ung"])
+    return found.select("claim_id", F.array_join("terms", ",").alias("terms"), F.array_join("segment_ids", ",").alias("segment_ids"))
