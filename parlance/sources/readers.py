@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from parlance.sources import sinks
+
 # Fixed format: an interval of a TextGrid file.
 TEXTGRID = r'xmin\s*=\s*([\d.]+)\s*\n\s*xmax\s*=\s*([\d.]+)\s*\n\s*text\s*=\s*"((?s:.*?))"'
 SEGMENT = "struct<speaker_id:string,role:string,text:string,start:double,end:double,segment_id:string>"
@@ -65,8 +67,8 @@ def emission_spans(spark: SparkSession, paths: str | list[str]) -> DataFrame:
 
 
 def session_rows(spark: SparkSession, path: str, session: int) -> DataFrame:
-    """One session's stored rows, by position; the filter reaches the scan."""
-    return spark.read.parquet(path).where(F.col("session_id") == session).orderBy("position")
+    """One session's rows of a store (see sinks), by position; the filter reaches the scan."""
+    return sinks.stored(spark, path).where(F.col("session_id") == session).orderBy("position")
 
 
 def lexicon(spark: SparkSession, paths: str | list[str]) -> DataFrame:
