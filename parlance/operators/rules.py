@@ -58,9 +58,11 @@ def cue_phrase(text: Column) -> Column:
 
 def phrase_role(phrase: Column, doctor: list[str], patient: list[str]) -> Column:
     """DOCTOR or PATIENT by the cue that comes first in a cue phrase (DOCTOR on a tie); null without a cue."""
-    at = lambda cues: F.array_min(F.filter(F.array(*(F.instr(phrase, f" {c} ") for c in cues)), lambda x: x > 0))
-    d, p = at(doctor), at(patient)
-    return F.when(d.isNull() & p.isNull(), F.lit(None)).when(p.isNull() | (d <= p), "DOCTOR").otherwise("PATIENT")
+    at = lambda text, cues: F.array_min(F.filter(F.array(*(F.instr(text, f" {c} ") for c in cues)), lambda x: x > 0))
+    # variables of lambdas, so that the phrase and the places are worked out once for each row
+    places = F.transform(F.array(phrase), lambda t: F.struct(at(t, doctor).alias("d"), at(t, patient).alias("p")))
+    role = lambda d, p: F.when(d.isNull() & p.isNull(), F.lit(None)).when(p.isNull() | (d <= p), "DOCTOR").otherwise("PATIENT")
+    return F.transform(places, lambda x: role(x["d"], x["p"]))[0]
 
 
 def orphan_role(rows: DataFrame, doctor: list[str], patient: list[str]) -> DataFrame:

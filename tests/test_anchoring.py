@@ -23,6 +23,13 @@ def test_windows_equal_a_search_of_all():
         assert anchoring.best_window(words, stream, cursor) == want
 
 
+def test_anchors_are_searched_for_once(spark):
+    from parlance.plans import catalogue
+
+    plan = catalogue.QUERIES["og10_cursor_runs"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("FlatMapCoGroupsInArrow") == 1
+
+
 def runs(spark, rows, heard):
     data = [(1, i, role, text) for i, (role, text) in enumerate(rows)]
     words = spark.createDataFrame([(1, i, w) for i, w in enumerate(heard.split())], "session_id long, at long, word string")
