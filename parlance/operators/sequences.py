@@ -171,9 +171,10 @@ def locate(needle: Column, words: Column) -> Column:
 
 def token_times(words: Column, start: Column, end: Column) -> Column:
     """(word, start, end) by even integer shares of the span."""
-    n = F.size(words)
-    at = lambda i: start + F.floor((end - start) * i / n)
-    return F.transform(words, lambda w, i: F.struct(w.alias("word"), at(i).alias("start"), at(i + 1).alias("end")))
+    at = lambda i, n: start + F.floor((end - start) * i / n)
+    # the words are a variable of a lambda, so that they are split once and not for each of them
+    timed = lambda ws: F.transform(ws, lambda w, i: F.struct(w.alias("word"), at(i, F.size(ws)).alias("start"), at(i + 1, F.size(ws)).alias("end")))
+    return F.transform(F.array(words), timed)[0]
 
 
 def allocation_check(runs: DataFrame, n_source: DataFrame) -> DataFrame:
