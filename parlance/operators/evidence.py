@@ -35,7 +35,9 @@ def around(before: int, after: int, text: Column | None = None) -> Column:
 
 def _said(rows: DataFrame, *facts: Column) -> DataFrame:
     """A row for each distinct scored word of each row, with facts of the row."""
-    return rows.select("session_id", "position", *facts, F.explode(F.array_distinct(score_tokens(F.col("text")))).alias("token"))
+    # facts stand below the explode, so that they are found once for each row and not for each word
+    each = rows.select("session_id", "position", *facts, F.array_distinct(score_tokens(F.col("text"))).alias("token"))
+    return each.withColumn("token", F.explode("token"))
 
 
 def _asked(claims: DataFrame) -> DataFrame:
