@@ -83,9 +83,11 @@ def channel_union(*channels: tuple[str, DataFrame]) -> DataFrame:
 
 def chunked_words(texts: DataFrame, id: str, words: Column, size: int = 18) -> DataFrame:
     """Rows of `size` words with made-up spans of a second each: id, chunk, text, start_ms, end_ms."""
-    each = texts.select(id, F.posexplode(words).alias("i", "word")).withColumn("chunk", F.floor(F.col("i") / size))
-    said = F.transform(F.array_sort(F.collect_list(F.struct("i", "word"))), lambda x: x["word"])
-    return each.groupBy(id, "chunk").agg(F.array_join(said, " ").alias("text")).select(id, "chunk", "text", (F.col("chunk") * 1000).alias("start_ms"), ((F.col("chunk") + 1) * 1000).alias("end_ms"))
+    starts = lambda ws: F.when(F.size(ws) > 0, F.sequence(F.lit(1), F.size(ws), F.lit(size)))
+    # the words are a variable of a lambda, so that they are split once; a text's chunks need no other text, so nothing is shuffled
+    said = F.transform(F.array(words), lambda ws: F.transform(starts(ws), lambda i: F.array_join(F.slice(ws, i, size), " ")))[0]
+    each = texts.select(id, F.posexplode(said).alias("chunk", "text")).withColumn("chunk", F.col("chunk").cast("long"))
+    return each.select(id, "chunk", "text", (F.col("chunk") * 1000).alias("start_ms"), ((F.col("chunk") + 1) * 1000).alias("end_ms"))
 
 
 def word_shares(spans: DataFrame, words: DataFrame) -> DataFrame:
