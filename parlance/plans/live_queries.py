@@ -227,5 +227,5 @@ def chunks(spark, sf):
 def recombined(spark, sf):
     rows = transcript(spark, sf)
     chunked = rows.select("session_id", F.col("position").alias("chunk"), F.col("start_ms").alias("offset_ms"))
-    words = timed_words(rows).withColumnRenamed("position", "chunk").join(chunked, ["session_id", "chunk"]).select("session_id", "chunk", "i", "word", (F.col("w_start") - F.col("offset_ms")).alias("rel_ms"))
+    words = timed_words(rows, "start_ms").select("session_id", F.col("position").alias("chunk"), "i", "word", (F.col("w_start") - F.col("start_ms")).alias("rel_ms"))
     return live.recombined(words, chunked)

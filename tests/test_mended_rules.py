@@ -41,3 +41,39 @@ def test_forbidden_keys_at_any_depth_in_arrays_and_any_case(spark):
     df = spark.createDataFrame(list(enumerate(texts)), "record_id long, json string")
     got = {(r.record_id, r.path) for r in governance.forbidden_keys(df, "json", ["token", "secret"]).collect()}
     assert got == {(0, "$.a[0].token"), (0, "$.a[0].token.secret"), (0, '$."b.c".token'), (0, "$.TOKEN"), (1, "$" + ".x" * 9 + ".token"), (6, '$[0][0]."q\\"x".Secret')}
+
+
+def _below_explode(df):
+    """The optimised plan's lines below its last explode, and those above it."""
+    lines = df._jdf.queryExecution().optimizedPlan().toString().split("\n")
+    at = max(i for i, line in enumerate(lines) if "Generate" in line)
+    return "\n".join(lines[at + 1 :]), "\n".join(lines[:at])
+
+
+def test_words_are_split_once_for_each_row(spark):
+    from parlance.plans import catalogue
+    from parlance.sources.adapt import numbered_words, timed_words, transcript
+
+    sf = "/root/testdata/sf0.001"
+    assert "regexp_extract_all" not in _below_explode(timed_words(transcript(spark, sf)))[1]
+    plan = catalogue.QUERIES["og14_token_times"](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_extract_all") == 1
+    for name in ("ok9_superseded_states", "ok10_unconfirmed_actions"):
+        plan = catalogue.QUERIES[name](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+        for line in plan.split("\n"):
+            assert not ("arrays_overlap" in line and "token#" in line and "explode" not in line and "array_distinct" not in line), line
+    words = numbered_words(transcript(spark, sf)).select("session_id", "position", "i", "at").collect()
+    by = {}
+    for r in sorted(words, key=lambda r: (r.session_id, r.position, r.i)):
+        by[r.session_id] = by.get(r.session_id, 0) + 1
+        assert r.at == by[r.session_id]
+
+
+def test_chunks_and_quotes_carry_no_text_along(spark):
+    from parlance.operators import relabel
+    from pyspark.sql import functions as F
+
+    texts = spark.createDataFrame([(1, " ".join(map(str, range(40)))), (2, ""), (3, None), (4, "a")], "id long, text string")
+    found = relabel.chunked_words(texts, "id", F.regexp_extract_all("text", F.lit(r"\S+"), F.lit(0)))
+    assert sorted((r.id, r.chunk, r.text, r.start_ms, r.end_ms) for r in found.collect()) == [(1, 0, " ".join(map(str, range(18))), 0, 1000), (1, 1, " ".join(map(str, range(18, 36))), 1000, 2000), (1, 2, "36 37 38 39", 2000, 3000), (4, 0, "a", 0, 1000)]
+    assert "Exchange" not in found._jdf.queryExecution().executedPlan().toString()
