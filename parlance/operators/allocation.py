@@ -107,8 +107,9 @@ def display_mapping(rows: DataFrame) -> DataFrame:
 
 def conflicting_sources(words: DataFrame) -> DataFrame:
     """(session_id, source_index, wordings) of sources that are shown in more than one wording."""
-    n = F.count_distinct(F.array_join(score_tokens(F.col("word")), " "))
-    return words.groupBy("session_id", "source_index").agg(n.alias("wordings")).where("wordings > 1")
+    said = words.select("session_id", "source_index", F.array_join(score_tokens(F.col("word")), " ").alias("said"))
+    # words are dealt out before they are counted, so that a task holds the sources of its share of words and not of its share of rows
+    return said.repartition("session_id", "source_index").groupBy("session_id", "source_index").agg(F.count_distinct("said").alias("wordings")).where("wordings > 1")
 
 
 def run_gaps(runs: DataFrame) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from parlance.functions.text import score_tokens
 from parlance.operators import allocation, attribution, intervals, sequences
 from parlance.plans.registry import query
-from parlance.sources.adapt import ROWS_SQL, WORDS_SQL, reference, table, timed_words, transcript
+from parlance.sources.adapt import ROWS_SQL, WORDS_SQL, numbered_words, reference, table, timed_words, transcript
 
 _R = f"WITH {ROWS_SQL}"
 _T = "regexp_extract_all(lower({0}), '[a-z'']+')"
@@ -41,8 +41,7 @@ _AT = f"{WORDS_SQL}, w AS (SELECT session_id, position, i, left(word, 1) AS word
 
 def _at(spark, sf):
     """Words by their initials, so that some repeat at seams; every eleventh shares its neighbour's source."""
-    at = F.row_number().over(Window.partitionBy("session_id").orderBy("position", "i"))
-    words = timed_words(transcript(spark, sf)).select("session_id", "position", "i", F.left("word", F.lit(1)).alias("word"), "role").withColumn("at", at)
+    words = numbered_words(transcript(spark, sf)).select("session_id", "position", "i", F.left("word", F.lit(1)).alias("word"), "role", "at")
     source = F.when(F.col("position") % 5 == 4, "retained_live").otherwise("corrected_asr")
     index = F.when(F.col("at") % 11 == 10, F.col("at") - 1).otherwise(F.col("at"))
     return words.withColumns({"seam": (F.col("i") == 0) & (F.col("position") > 0), "source": source, "source_index": index, "ambiguous": F.col("role") == "UNKNOWN"})
