@@ -79,6 +79,39 @@ def test_whole_recordings_stay_in_little_memory():
         raise AssertionError("longer sides are refused")
 
 
+def test_only_places_of_equal_words_are_looked_at():
+    import time
+
+    rng = random.Random(3)
+    a = [f"w{rng.randrange(9000)}" for _ in range(30_000)]
+    b = [w for i, w in enumerate(a) if i % 11]
+    began = time.process_time()
+    forced = alignment.forced_matches(a, b)
+    assert time.process_time() - began < 10 and len(forced) > 0.9 * len(b)
+    # stretches give what one stretch gives
+    x, y = (["a", "b", "a"] * 700)[:2000], ["a", "b"] * 900
+    found, left, right = alignment.optimal_matches(x, y)
+    assert not set(left.nonzero()[0]) & {i for i, _ in found} and not set(right.nonzero()[0]) & {j for _, j in found}
+
+
+def test_rows_are_taken_one_at_a_time_and_numbered_by_batch():
+    import pyarrow as pa
+
+    batch = pa.RecordBatch.from_pydict({"r": [["a", "b"], None, [], ["c", "a"]], "h": [["b"], ["a"], ["c"], []]}, pa.schema({"r": pa.list_(pa.string()), "h": pa.list_(pa.string())}))
+    got = [[list(map(int, x)) for x in v] for v in alignment._coded(batch.slice(0), ["r", "h"])]
+    a, b, c = got[0][0][0], got[0][0][1], got[3][0][0]
+    assert len({a, b, c}) == 3 and got == [[[a, b], [b]], [[], [a]], [[], [c]], [[c, a], []]]
+    part = [[list(map(int, x)) for x in v] for v in alignment._coded(batch.slice(2), ["r", "h"])]
+    assert [[len(x) for x in v] for v in part] == [[0, 1], [2, 0]] and part[0][1][0] == part[1][0][0]
+
+
+def test_phrases_may_cross_rows(spark):
+    rows = spark.createDataFrame([(1, 0, ["x", "a"]), (1, 1, []), (1, 2, ["b"]), (1, 3, ["c", "a", "b", "c"]), (2, 0, ["a"])], "session_id long, position long, words array<string>")
+    assert {tuple(r) for r in alignment.occurrences(rows, ["a", "b", "c"], ["x"]).collect()} == {(1, 1, 0, 3), (1, 4, 3, 3), (1, 0, 0, 0)}
+    plan = alignment.occurrences(rows, ["a", "b"])._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Generate") == 1  # what is exploded are places, not words
+
+
 def test_edit_steps_as_a_table_function(spark):
     alignment.register_edit_steps(spark)
     pairs = spark.createDataFrame([(1, ["a", "b", "c"], ["a", "x", "c", "d"]), (2, None, ["a"]), (3, [], [])], "id long, r array<string>, h array<string>")
