@@ -354,8 +354,10 @@ def grounding(claims: DataFrame, rows: DataFrame, citations: DataFrame) -> DataF
     if none of those is cited.
     """
     first = F.try_element_at(score_tokens(F.col("quote")), F.lit(1))
-    said = rows.select("session_id", "role", F.col("segment_id").alias("cited"), padded(F.col("text")).alias("said"), F.explode(F.array_distinct(score_tokens(F.col("text")))).alias("word"))
-    support = claims.withColumn("word", first).where("word is not null").join(said, ["session_id", "role", "word"]).where(F.contains("said", padded(F.col("quote")))).select("session_id", "claim_id", "cited")
+    said = rows.select("session_id", "role", F.col("segment_id").alias("cited"), F.explode(F.array_distinct(score_tokens(F.col("text")))).alias("word"))
+    texts = rows.select("session_id", F.col("segment_id").alias("cited"), "text")  # joined to the rows found by a word: no text goes along with each of its words
+    support = claims.withColumn("word", first).where("word is not null").join(said, ["session_id", "role", "word"])
+    support = support.join(texts, ["session_id", "cited"]).where(F.contains(padded(F.col("text")), padded(F.col("quote")))).select("session_id", "claim_id", "cited")
     marked = citations.select("session_id", "claim_id", "cited").distinct().withColumn("is_cited", F.lit(1))
     used = support.join(marked, ["session_id", "claim_id", "cited"], "left").groupBy("session_id", "claim_id").agg(F.count("is_cited").alias("hits"))
     known = rows.select("session_id", F.col("segment_id").alias("cited"))
