@@ -81,9 +81,8 @@ def touching(rows: DataFrame, spans: DataFrame, *, keep: bool = True) -> DataFra
 
 def word_points(rows: DataFrame, words: Column) -> DataFrame:
     """Each word at the centre of its even share of the row: session_id, segment_id, role, word_index, word, at_ms."""
-    n = F.size("words")
-    rows = rows.withColumn("words", words).select("*", F.posexplode("words").alias("word_index", "word"))
-    at = F.col("start_ms") + F.floor((F.col("end_ms") - F.col("start_ms")) * (2 * F.col("word_index") + 1) / (2 * n))
+    rows = rows.withColumn("words", words).withColumn("_n", F.size("words")).select("*", F.posexplode("words").alias("word_index", "word"))
+    at = F.col("start_ms") + F.floor((F.col("end_ms") - F.col("start_ms")) * (2 * F.col("word_index") + 1) / (2 * F.col("_n")))
     return rows.select("session_id", "segment_id", "role", "speaker_id", "word_index", "word", at.alias("at_ms"))
 
 
