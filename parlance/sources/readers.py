@@ -45,6 +45,15 @@ def textgrid(spark: SparkSession, paths: str | list[str], cutoff_ms: int) -> Dat
     what is empty then goes. A file is one row while it is taken apart.
     """
     files = spark.read.text(paths, wholetext=True).select(F.element_at(F.split(F.col("_metadata.file_path"), "/"), -2).alias("file"), "value")
+    return _intervals(files, cutoff_ms)
+
+
+def packed_textgrid(spark: SparkSession, paths: str | list[str], cutoff_ms: int) -> DataFrame:
+    """textgrid of many interval files packed as lines of JSON (file: its name, value: its text), so that a session is no file of its own."""
+    return _intervals(spark.read.schema("file string, value string").json(paths), cutoff_ms)
+
+
+def _intervals(files: DataFrame, cutoff_ms: int) -> DataFrame:
     column = lambda i: F.regexp_extract_all("value", F.lit(TEXTGRID), F.lit(i))
     each = files.select("file", F.posexplode(F.arrays_zip(column(1).alias("a"), column(2).alias("b"), column(3).alias("text"))).alias("at", "x"))
     rows = each.select("file", role_of_file(F.col("file")).alias("role"), (F.col("at") + 1).alias("ordinal"), _ms(F.col("x.a").try_cast("double")).alias("start_ms"), F.least(_ms(F.col("x.b").try_cast("double")), F.lit(cutoff_ms)).alias("end_ms"), F.trim("x.text").alias("text"))

@@ -77,3 +77,22 @@ def test_chunks_and_quotes_carry_no_text_along(spark):
     found = relabel.chunked_words(texts, "id", F.regexp_extract_all("text", F.lit(r"\S+"), F.lit(0)))
     assert sorted((r.id, r.chunk, r.text, r.start_ms, r.end_ms) for r in found.collect()) == [(1, 0, " ".join(map(str, range(18))), 0, 1000), (1, 1, " ".join(map(str, range(18, 36))), 1000, 2000), (1, 2, "36 37 38 39", 2000, 3000), (4, 0, "a", 0, 1000)]
     assert "Exchange" not in found._jdf.queryExecution().executedPlan().toString()
+
+
+def test_packed_interval_files_equal_files(spark, tmp_path):
+    import glob
+
+    from parlance.plans import catalogue
+    from parlance.sources import readers
+
+    interval = 'xmin = {}\nxmax = {}\ntext = "{}"\n'
+    grids = {"doctor-1": interval.format(0, 1.5, "hi\x1e there") + interval.format(2, 90, "late"), "patient-2": interval.format(1, 2, " "), "x": interval.format(3, 4, "y")}
+    for name, text in grids.items():
+        (tmp_path / "files" / name).mkdir(parents=True)
+        (tmp_path / "files" / name / "part.txt").write_text(text)
+    spark.createDataFrame(list(grids.items()), "file string, value string").write.json(str(tmp_path / "packed"))
+    rows = lambda df: sorted(map(tuple, df.collect()), key=str)
+    packed = rows(readers.packed_textgrid(spark, str(tmp_path / "packed"), 60_000))
+    assert packed == rows(readers.textgrid(spark, str(tmp_path / "files" / "*"), 60_000)) and len(packed) == 3
+    grid = catalogue.QUERIES["oa3_oa4_textgrid"](spark, "/root/testdata/sf0.001")
+    assert len(grid.inputFiles()) < 100  # a file for each role of each session before
