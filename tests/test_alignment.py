@@ -94,6 +94,37 @@ def test_only_places_of_equal_words_are_looked_at():
     assert not set(left.nonzero()[0]) & {i for i, _ in found} and not set(right.nonzero()[0]) & {j for _, j in found}
 
 
+def test_tables_cut_into_stretches_give_what_one_table_gives(monkeypatch):
+    rng = random.Random(12)
+    sides = _pairs(60, 40) + [(["a"] * 30, ["a"] * 50), (["a", "b"] * 20, ["b", "a"] * 15)]
+    sides += [(a, [w if rng.random() < 0.8 else "x" for w in a for _ in range(rng.choice([0, 1, 1, 2]))]) for a in ([f"w{rng.randrange(15)}" for _ in range(80)] for _ in range(40))]
+    want = [[x.tolist() for x in alignment.optimal_codes(*alignment._codes(a, b))] for a, b in sides]
+    for cells, stretches, held in ((1, 2, 1 << 20), (20, 3, 0), (200, 64, 300)):
+        monkeypatch.setattr(alignment, "CELLS", cells)
+        monkeypatch.setattr(alignment, "STRETCHES", stretches)
+        monkeypatch.setattr(alignment, "HELD", held)
+        assert [[x.tolist() for x in alignment.optimal_codes(*alignment._codes(a, b))] for a, b in sides] == want
+
+
+def test_sessions_of_any_length_are_aligned(spark):
+    said = [f"w{i}" for i in range(70_000)]
+    said[50_000] = said[49_999]
+    shown = [w for i, w in enumerate(said) if i % 11 and i != 49_999] + ["end"]
+    want, j = set(), 0
+    for i in range(70_000):
+        if i % 11 and i != 49_999:
+            want.add(("DOCTOR", "forced", i, j) if i != 50_000 else ("DOCTOR", "ambiguous", None, j))
+            j += 1
+    refs = spark.createDataFrame([(1, "DOCTOR", said), (1, "PATIENT", ["w65000", "w65001"])], "session_id long, role string, words array<string>")
+    hyps = spark.createDataFrame([(1, shown)], "session_id long, words array<string>")
+    places = [shown.index("w65000"), shown.index("w65001")]
+    want |= {("PATIENT", "forced", k, j) for k, j in enumerate(places)}
+    found = alignment.role_matches(refs, hyps)
+    assert {(r.role, r.kind, r.ref_index, r.hyp_index) for r in found.collect()} == want
+    kinds = {r["class"]: r["count"] for r in alignment.one_role_words(found).groupBy("class").count().collect()}
+    assert kinds == {"exact_unambiguous": len(shown) - 4, "cross_role_ambiguous": 2, "within_role_ambiguous": 1}
+
+
 def test_rows_are_taken_one_at_a_time_and_numbered_by_batch():
     import pyarrow as pa
 
